@@ -2,6 +2,67 @@
 
 from __future__ import annotations
 
+from . import line_dedup, mixing
+
+#: Words of a text, as in common.WORD.
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+LINE_DEDUP = f"""
+WITH cut AS (
+    SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
+), said AS (
+    SELECT r, doc_id, source, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM cut
+), bare AS (
+    SELECT *, trim(regexp_replace(line, '[\\x09-\\x0D]', ' ', 'g'), ' ') AS k FROM said
+), pages AS (
+    SELECT source, count(*) AS pages FROM documents GROUP BY source
+), bad AS (
+    SELECT b.source, b.k FROM bare b JOIN pages p ON b.source IS NOT DISTINCT FROM p.source
+    WHERE k <> '' GROUP BY b.source, b.k, p.pages
+    HAVING count(DISTINCT r) >= {line_dedup.MIN_PAGES} AND count(DISTINCT r) > {line_dedup.RATIO} * p.pages
+), marked AS (
+    SELECT b.*, d.k IS NOT NULL AS gone FROM bare b LEFT JOIN bad d ON b.source IS NOT DISTINCT FROM d.source AND b.k = d.k
+), joined AS (
+    SELECT r, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY r
+)
+SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE kept END AS text, coalesce(n, 0)::INTEGER AS lines_dropped
+FROM cut LEFT JOIN joined USING (r)
+"""
+
+MIXING = f"""
+WITH sized AS (
+    SELECT doc_id, source, {WORDS}::BIGINT AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS u
+    FROM documents
+), weighed AS (
+    SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+    FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
+), state AS (
+    SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS wall,
+        coalesce(sum(source_size) OVER o, 0) AS stopped, coalesce(sum(w) OVER o, 0) AS wstopped
+    FROM weighed
+    WINDOW o AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+    SELECT *, (total - {mixing.MOST} * stopped)::DOUBLE / (wall - wstopped)::DOUBLE AS lv FROM state
+), goal AS (
+    SELECT source, source_size, least(({mixing.MOST} * source_size)::DOUBLE, max(CASE WHEN lv * w <= {mixing.MOST} * source_size THEN lv END) OVER () * w) AS target
+    FROM levels
+), need AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS rounds,
+        target - CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END * source_size AS need
+    FROM goal
+), bins AS (
+    SELECT source, u, sum(size) AS s, sum(sum(size)) OVER (PARTITION BY source ORDER BY u) AS upto FROM sized GROUP BY source, u
+), inside AS (
+    SELECT b.source, b.u, upto <= need OR (upto - need <= need - (upto - s) AND upto - need < s) AS ok
+    FROM bins b JOIN need n ON b.source IS NOT DISTINCT FROM n.source
+), below AS (
+    SELECT source, coalesce(min(CASE WHEN NOT ok THEN u END), max(u) + 1) AS below FROM inside GROUP BY source
+)
+SELECT doc_id, size, source_size, target, size * (rounds + CASE WHEN u < below THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM sized d JOIN need n ON d.source IS NOT DISTINCT FROM n.source JOIN below b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINE_DEDUP, "op8_mixing": MIXING}
