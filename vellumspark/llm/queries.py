@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, simhash, warc
+from . import langid, line_dedup, mixing, packing, quality, simhash, url_filter, warc
 from .common import table, visible
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op2_line_dedup, op3_warc, op4_packing, op8_mixing]
+_QUERIES = [op1_simhash_near_dedup, op2_line_dedup, op3_warc, op4_packing, op5_url_filter, op6_quality, op7_langid, op8_mixing]
 
 
 def queries() -> dict[str, Query]:
