@@ -10,8 +10,8 @@ sequence a partition is padded.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,34 +20,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END_ID = 2048, 1
-#: Words whose ids a worker remembers at once, and the longest of them in bytes.
-REMEMBERED, LONGEST = 300_000, 64
+END = END_ID.to_bytes(4, "little")
+#: Words and stems whose ids a worker remembers at once, and the longest in bytes that is split.
+REMEMBERED, STEMS, LONGEST = 400_000, 900_000, 64
+#: Letters that lower-case to one letter and compose with nothing, then ASCII signs other
+#: than those of contractions and special tokens.
+SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: Bytes of text that are looked up together.
+TOGETHER = 1 << 20
 #: Bytes of ids in a batch that is handed on.
 BATCH_BYTES = 4 << 20
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class WordIds(dict):
-    """UTF-8 word -> ids. Exact because the tokenizer's pieces never cross ASCII white
-    space and its normaliser changes nothing across it."""
+class WordIds:
+    """Ids of texts from remembered ids of words, as bytes of little-endian 32-bit ids.
+
+    Exact because the tokenizer's pieces never cross ASCII white space and its normaliser
+    changes nothing across it. A word of Latin letters and trailing ASCII signs is two
+    pieces, whose letters are case-free, so most new words are a known stem and tail; new
+    stems are encoded many at a time.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_stems(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 5000):
+            part = fresh[at : at + 5000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            piece, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
+            cuts = np.searchsorted(piece, np.arange(len(part) + 1))
+            if piece[-1] != len(part) - 1 or (np.diff(cuts) == 0).any():  # not one piece each
+                self.stems.update((x, self._alone(x)) for x in part)
+                continue
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.stems.update((x, data[i:j]) for x, i, j in zip(part, cuts, cuts[1:], strict=False))
+
+    def learn(self, words: set[bytes]) -> None:
+        fresh = words.difference(self.words)
+        if len(self.words) + len(fresh) > REMEMBERED:  # what is still in use moves on
+            self.before, self.words = self.words, {}
+            fresh = words
+        again = fresh.intersection(self.before) if self.before else ()
+        self.words.update((w, self.before[w]) for w in again)
+        split = [(w, SPLIT.fullmatch(w.decode("utf-8", "replace")) if len(w) <= LONGEST else None) for w in fresh.difference(again)]
+        parts = [(w, m[1].lower(), m[2]) for w, m in split if m]
+        both = {x for _, *xs in parts for x in xs}
+        need = both.difference(self.stems)
+        if len(self.stems) + len(need) > STEMS:
+            self.stems = {"": b""}
+            need = both - {""}
+        self._learn_stems([x for x in need if x[0].isalpha()])
+        self.stems.update((x, self._alone(x)) for x in need if not x[0].isalpha())
+        stems = self.stems
+        self.words.update((w, stems[stem] + stems[tail]) for w, stem, tail in parts)
+        self.words.update((w, self._alone(w.decode("utf-8", "replace"))) for w, m in split if not m)
+
+    def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text, END_ID last."""
+        cut = [t.split() if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)) + END, "<u4") for words in cut]
 
     def ids(self, text: bytes | None) -> np.ndarray:
-        found = chain.from_iterable(map(self.__getitem__, text.split())) if text else ()
-        return np.fromiter(chain(found, (END_ID,)), dtype="<u4")
+        return self.many([text])[0]
 
 
 @functools.cache
@@ -138,10 +185,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         known, base = word_ids(tokenizer), TaskContext.get().partitionId() << 32
 
         def read() -> Iterator[tuple]:
+            docs, texts, held = [], [], 0
             for b in it:
-                texts = b.column(1).cast(pa.large_binary())
-                for doc, text in zip(b.column(0).to_pylist(), texts, strict=True):
-                    yield doc, known.ids(text.as_py())
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
+                    docs.append(doc), texts.append(text.as_py())
+                    held += len(texts[-1] or b"")
+                    if held >= TOGETHER:
+                        yield from zip(docs, known.many(texts), strict=True)
+                        docs, texts, held = [], [], 0
+            yield from zip(docs, known.many(texts), strict=True)
 
         rows, held = [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
