@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import free_name, kept
 from .components import connected_components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
 #: Shingles whose bits are unpacked at once; bounds memory on very long texts.
 CHUNK = 1 << 16
+#: Ids of dropped documents that are sent to all tasks; beyond it they are joined.
+BROADCAST_IDS = 200_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -138,5 +140,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> D
     """``docs`` without the near-duplicates: of each component the row with the
     smallest doc_id stays (rows without a doc_id stay)."""
     groups = near_duplicates(docs, shingle, budget)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    key = free_name(docs, "_gone")
+    gone = kept(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
