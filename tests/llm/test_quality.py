@@ -49,12 +49,12 @@ def test_views_teach_each_other():
     rng = np.random.default_rng(2)
     y = (rng.random(2400) < 0.5).astype(float)
     text = np.stack([y * 6 - 3 + rng.normal(size=2400), rng.normal(size=2400)], axis=1)
-    meta = np.stack([y * 3 - 1.5 + rng.normal(size=2400)] + [rng.normal(size=2400) for _ in range(12)], axis=1)
-    few = slice(0, 40)
+    meta = np.stack([y * 3 - 1.5 + rng.normal(size=2400)] + [rng.normal(size=2400) for _ in range(60)], axis=1)
+    few = slice(0, 160)
     alone = quality.cotrain(text[few], meta[few], y[few], text[:0], meta[:0])
-    taught = quality.cotrain(text[few], meta[few], y[few], text[40:1400], meta[40:1400])
+    taught = quality.cotrain(text[few], meta[few], y[few], text[160:1400], meta[160:1400])
     right = [np.mean((m.meta.raw(meta[1400:]) > 0) == y[1400:]) for m in (alone, taught)]
-    assert right[1] > right[0] and right[1] > 0.9
+    assert right[1] > right[0] and right[1] > 0.8
     both = taught.scores(text[1400:], meta[1400:])[0]
     assert np.mean((both > 0.5) == y[1400:]) > 0.98
 
