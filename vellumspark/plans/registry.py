@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import stats, texts, vectors  # noqa: F401
+from . import records, stats, texts, vectors  # noqa: F401
 from .base import QUERIES, SQL, Query
 
 
