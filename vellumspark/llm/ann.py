@@ -23,8 +23,9 @@ from .common import kept
 TOP = 10
 #: Vectors that the index is fitted on, at most; lists per square root of the vectors.
 SAMPLE, LISTS = 16_384, 1.0
-#: Share of the lists that a query visits, and lists at least.
-PROBES, LEAST_PROBES = 0.25, 8
+#: Of the sample's true nearest, the share that lies in the lists a query visits; sample
+#: rows that are asked for it; lists that are visited at least.
+REACHED, ASKED, LEAST_PROBES = 0.97, 256, 8
 #: Parts of a residual, codes of a part, vectors of a block, exact distances of a block.
 PARTS, CODES, BLOCK, RERANK = 16, 64, 4096, 150
 
@@ -44,9 +45,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     for _ in range(rounds):
         own = squared(x, centres).argmin(axis=1)
         n = np.bincount(own, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+        order = np.argsort(own, kind="stable")
+        starts = (np.cumsum(n) - n)[n > 0]
+        centres[n > 0] = np.add.reduceat(x[order], starts, axis=0) / n[n > 0, None]
     return centres
 
 
@@ -58,7 +59,17 @@ class Index:
         rest = sample - self.centroids[squared(sample, self.centroids).argmin(axis=1)]
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(rest[:, i:j], CODES, 6) for i, j in zip(self.cuts, self.cuts[1:], strict=False)]
-        self.probes = min(len(self.centroids), max(LEAST_PROBES, int(np.ceil(PROBES * len(self.centroids)))))
+        self.probes = min(len(self.centroids), max(LEAST_PROBES, self._needed(sample)))
+
+    def _needed(self, sample: np.ndarray) -> int:
+        """Lists to visit, from the sample's own nearest rows. Of all vectors the nearest
+        are nearer still, so that they lie in the first lists rather more often."""
+        own = squared(sample, self.centroids).argmin(axis=1)
+        ask = sample[np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int)]
+        near = np.argsort(squared(ask, sample), axis=1, kind="stable")[:, 1 : TOP + 1]
+        place = np.argsort(np.argsort(squared(ask, self.centroids), axis=1, kind="stable"), axis=1)
+        ranks = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+        return int(ranks[int(np.ceil(REACHED * len(ranks))) - 1]) + 1 if len(ranks) else 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = squared(x, self.centroids).argmin(axis=1)
