@@ -263,3 +263,26 @@ def test_windows_and_sessions_with_watermarks(spark, tmp_path):
         q.awaitTermination(120)
     assert [(r.n, r.total) for r in spark.table("w").collect()] == [(2, 5.0)]
     assert [r.n for r in spark.table("s").collect()] == [2]
+
+
+def test_byte_pairs_are_the_public_librarys(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from vellumspark.functions import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    public = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    rng = random.Random(7)
+    texts = ["", None, "Hello  world's été 漢字 😀\n\n x"] + ["".join(rng.choice("abcdeé 1'\n") for _ in range(60)) for _ in range(40)]
+    rows = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), path, ["k"])
+    got = {r.k: r.ids for r in rows.collect()}
+    assert got == {k: None if t is None else public.encode_ordinary(t) for k, t in enumerate(texts)}
+    assert {r.k: r.text for r in bpe.decode(rows, path, ["k"]).collect()} == dict(enumerate(texts))
+    broken = spark.createDataFrame([(1, [known[b"\xff"]])], "k int, ids array<int>")
+    assert bpe.decode(broken, path, ["k"]).first().text == "�"
+    with pytest.raises(Exception, match="decode"):
+        bpe.decode(broken, path, ["k"], strict=True).collect()

@@ -10,7 +10,6 @@ from vellumspark.operators import routing
 
 from .base import query, read
 
-E = F.col("embedding")
 NEXT = "SELECT a.vec_id, a.embedding::DOUBLE[] AS v, b.embedding::DOUBLE[] AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 
@@ -21,20 +20,20 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector with the next one by id."""
     a = _vectors(spark, sf)
-    b = a.select((F.col("vec_id") - 1).alias("vec_id"), E.alias("w"))
-    return a.join(b, "vec_id").select("vec_id", E.alias("v"), "w")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("w"))
+    return a.join(b, "vec_id").select("vec_id", F.col("embedding").alias("v"), "w")
 
 
 @query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS best FROM embeddings")
 def a01_argmax(spark, sf):
-    return _vectors(spark, sf).select("vec_id", V.argmax(E).alias("best"))
+    return _vectors(spark, sf).select("vec_id", V.argmax(F.col("embedding")).alias("best"))
 
 
 @query("""SELECT vec_id, (list_position(x, list_max(x)) - 1)::INTEGER AS best FROM (
     SELECT vec_id, list_transform(embedding, lambda v, i: CASE WHEN (i - 1) % 7 = vec_id % 7 THEN '-infinity'::FLOAT ELSE v END) AS x FROM embeddings)""")
 def a01_argmax_with_bans(spark, sf):
     bans = F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i % 7 == F.col("vec_id") % 7)
-    return _vectors(spark, sf).select("vec_id", V.argmax_except(E, bans).alias("best"))
+    return _vectors(spark, sf).select("vec_id", V.argmax_except(F.col("embedding"), bans).alias("best"))
 
 
 @query("""SELECT label, min_by(vec_id, struct_pack(s := -top, v := vec_id)) AS vec_id FROM (SELECT label, vec_id, list_max(embedding) AS top FROM embeddings) GROUP BY label""")
@@ -45,20 +44,20 @@ def a02_grouped_argmax(spark, sf):
 
 @query("SELECT vec_id, round((list_sort(embedding, 'DESC')[1] - list_sort(embedding, 'DESC')[2])::DOUBLE, 7) AS margin FROM embeddings")
 def a03_top_margin(spark, sf):
-    return _vectors(spark, sf).select("vec_id", F.round(V.margin(E), 7).alias("margin"))
+    return _vectors(spark, sf).select("vec_id", F.round(V.margin(F.col("embedding")), 7).alias("margin"))
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos, list_max(embedding)::DOUBLE AS m FROM embeddings)
 SELECT vec_id, pos::INTEGER AS pos, round(exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id), 7) AS p FROM e""")
 def a05_softmax(spark, sf):
-    return _vectors(spark, sf).select("vec_id", F.posexplode(V.softmax(E)).alias("pos", "p")).withColumn("p", F.round("p", 7))
+    return _vectors(spark, sf).select("vec_id", F.posexplode(V.softmax(F.col("embedding"))).alias("pos", "p")).withColumn("p", F.round("p", 7))
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
 SELECT vec_id, pos::INTEGER AS pos, round(x / sqrt(avg(x * x) OVER w + 1e-6), 6) AS rms, round((x - avg(x) OVER w) / sqrt(avg(x * x) OVER w - (avg(x) OVER w) ** 2 + 1e-6), 6) AS layer
 FROM e WINDOW w AS (PARTITION BY vec_id)""")
 def a07_norms(spark, sf):
-    both = F.arrays_zip(V.rms_norm(E).alias("rms"), V.layer_norm(E).alias("layer"))
+    both = F.arrays_zip(V.rms_norm(F.col("embedding")).alias("rms"), V.layer_norm(F.col("embedding")).alias("layer"))
     rows = _vectors(spark, sf).select("vec_id", F.posexplode(both).alias("pos", "x"))
     return rows.select("vec_id", "pos", F.round("x.rms", 6).alias("rms"), F.round("x.layer", 6).alias("layer"))
 
@@ -70,14 +69,14 @@ INT8_Q = "list_transform(v, lambda x: greatest(-127, least(127, round_even((x /
 
 @query(f"SELECT vec_id, array_to_string({INT8_Q}, ',') AS q, round(scale, 9) AS scale FROM ({INT8_SQL})")
 def a24_int8_rows(spark, sf):
-    q = _vectors(spark, sf).select("vec_id", V.int8(E).alias("q"))
+    q = _vectors(spark, sf).select("vec_id", V.int8(F.col("embedding")).alias("q"))
     return q.select("vec_id", F.array_join("q.q", ",").alias("q"), F.round(F.col("q.scale").cast("double"), 9).alias("scale"))
 
 
 @query(f"""SELECT vec_id, round(list_max(list_transform(list_zip(v, {INT8_Q}), lambda z: abs(z[1] - z[2] * scale))), 7) AS off FROM ({INT8_SQL})""")
 def f04_int8_round_trip(spark, sf):
-    rows = _vectors(spark, sf).select("vec_id", "embedding", V.int8(E).alias("q"))
-    return rows.select("vec_id", F.round(V.max_abs_diff(E, V.int8_values(F.col("q"))), 7).alias("off"))
+    rows = _vectors(spark, sf).select("vec_id", "embedding", V.int8(F.col("embedding")).alias("q"))
+    return rows.select("vec_id", F.round(V.max_abs_diff(F.col("embedding"), V.int8_values(F.col("q"))), 7).alias("off"))
 
 
 @query(f"""WITH q AS (SELECT vec_id, {INT8_Q} AS q, scale FROM ({INT8_SQL}))
@@ -94,7 +93,7 @@ INT4_SQL = """SELECT vec_id, pos, x, CASE WHEN m = 0 THEN 1.0 ELSE m END AS scal
 
 @query(f"SELECT vec_id, pos, greatest(-7, least(7, round_even((x / scale)::FLOAT::DOUBLE, 0)))::INTEGER AS q, round(scale, 9) AS scale FROM ({INT4_SQL})")
 def a25_int4_groups(spark, sf):
-    rows = _vectors(spark, sf).select("vec_id", V.int4(E).alias("q"))
+    rows = _vectors(spark, sf).select("vec_id", V.int4(F.col("embedding")).alias("q"))
     q = rows.select("vec_id", "q.scales", F.posexplode("q.q").alias("pos", "q"))
     return q.select("vec_id", "pos", "q", F.round(F.element_at("scales", (F.floor(F.col("pos") / 16) + 1).cast("int")), 9).alias("scale"))
 
@@ -103,7 +102,7 @@ def a25_int4_groups(spark, sf):
 b AS (SELECT vec_id, pos // 2 AS byte, sum(CASE WHEN pos % 2 = 0 THEN q & 15 ELSE (q & 15) * 16 END) AS b FROM q GROUP BY vec_id, pos // 2)
 SELECT b.vec_id, string_agg(b.b::VARCHAR, ',' ORDER BY byte) AS packed, true AS same FROM b GROUP BY b.vec_id""")
 def f05_nibbles(spark, sf):
-    rows = _vectors(spark, sf).select("vec_id", V.int4(E)["q"].alias("q")).withColumn("b", V.nibbles(F.col("q")))
+    rows = _vectors(spark, sf).select("vec_id", V.int4(F.col("embedding"))["q"].alias("q")).withColumn("b", V.nibbles(F.col("q")))
     return rows.select("vec_id", F.array_join("b", ",").alias("packed"), (V.from_nibbles(F.col("b")) == F.col("q")).alias("same"))
 
 
@@ -112,7 +111,7 @@ s AS (SELECT *, CASE WHEN hi = lo THEN 1.0 ELSE ((hi - lo) / 255)::FLOAT::DOUBLE
 z AS (SELECT *, greatest(0, least(255, round_even((-lo / scale)::FLOAT::DOUBLE, 0)))::INTEGER AS zero FROM s)
 SELECT vec_id, zero, array_to_string(list_transform(v, lambda x: greatest(0, least(255, round_even((x / scale)::FLOAT::DOUBLE, 0) + zero))::INTEGER), ',') AS q FROM z""")
 def a26_uint8_rows(spark, sf):
-    rows = _vectors(spark, sf).select("vec_id", V.uint8(E).alias("q"))
+    rows = _vectors(spark, sf).select("vec_id", V.uint8(F.col("embedding")).alias("q"))
     return rows.select("vec_id", "q.zero", F.array_join("q.q", ",").alias("q"))
 
 
@@ -129,7 +128,7 @@ k AS (SELECT *, x / sqrt(2) AS y, 1 / (1 + 0.3275911 * abs(x / sqrt(2))) AS t FR
 SELECT vec_id, pos::INTEGER AS pos, round(x / (1 + exp(-x)), 7) AS silu, round(0.5 * x * (1 + {ERF_SQL}), 7) AS gelu, round(x / (1 + exp(-1.702 * x)), 7) AS quick FROM k""")
 def f01_activations(spark, sf):
     x = F.col("x")
-    rows = _vectors(spark, sf).select("vec_id", F.posexplode(V.doubles(E)).alias("pos", "x")).withColumn("x", x * 4)
+    rows = _vectors(spark, sf).select("vec_id", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x")).withColumn("x", x * 4)
     return rows.select("vec_id", "pos", F.round(V.silu(x), 7).alias("silu"), F.round(V.gelu(x), 7).alias("gelu"), F.round(V.quick_gelu(x), 7).alias("quick"))
 
 
@@ -177,7 +176,7 @@ def t02_two_phase_top(spark, sf):
 x AS (SELECT vec_id, p, i, v[i + 1] AS a, CASE WHEN i < 32 THEN -v[i + 33] ELSE v[i - 31] END AS b, p * pow(10000.0, -2.0 * (i % 32) / 64) AS t FROM e, range(64) r(i))
 SELECT vec_id, i::INTEGER AS pos, round(a * cos(t) + b * sin(t), 6) AS y FROM x""")
 def w07_rotary(spark, sf):
-    turned = V.rotate(E, (F.col("vec_id") % 50).cast("double"))
+    turned = V.rotate(F.col("embedding"), (F.col("vec_id") % 50).cast("double"))
     return _vectors(spark, sf).select("vec_id", F.posexplode(turned).alias("pos", "y")).withColumn("y", F.round("y", 6))
 
 
