@@ -105,9 +105,9 @@ def g02_xorshift(spark, sf):
     return grid.xorshift(spark, 2463534242, 200)
 
 
-@query("""SELECT p_brand, min_by(p_name, p_size * 100000 + p_partkey) AS first FROM part WHERE p_retailprice > 950 GROUP BY p_brand""")
+@query("""SELECT p_brand, min_by(p_name, p_size * 100000 + p_partkey) AS first FROM part WHERE p_size % 3 = 0 GROUP BY p_brand""")
 def s25_first_candidate(spark, sf):
-    rows = read(spark, sf, "part").select("p_brand", F.col("p_name").alias("path"), (F.col("p_size") * 100000 + F.col("p_partkey")).alias("ordinal"), (F.col("p_retailprice") > 950).alias("there"))
+    rows = read(spark, sf, "part").select("p_brand", F.col("p_name").alias("path"), (F.col("p_size") * 100000 + F.col("p_partkey")).alias("ordinal"), (F.col("p_size") % 3 == 0).alias("there"))
     return grid.first_existing(rows, "p_brand").select("p_brand", F.col("path").alias("first"))
 
 
