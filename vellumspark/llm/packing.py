@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 WINDOW, END_ID = 2048, 1
 END = END_ID.to_bytes(4, "little")
 #: Words and stems whose ids a worker remembers at once, and the longest in bytes that is split.
-REMEMBERED, STEMS, LONGEST = 400_000, 900_000, 64
+REMEMBERED, STEMS, LONGEST = 100_000, 300_000, 64
 #: Letters that lower-case to one letter and compose with nothing, then ASCII signs other
 #: than those of contractions and special tokens.
 SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
