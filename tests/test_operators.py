@@ -286,3 +286,14 @@ def test_byte_pairs_are_the_public_librarys(spark):
     assert bpe.decode(broken, path, ["k"]).first().text == "�"
     with pytest.raises(Exception, match="decode"):
         bpe.decode(broken, path, ["k"], strict=True).collect()
+
+
+def test_beta_quantiles_and_last_places(spark):
+    from vellumspark.operators import checks
+
+    rows = spark.createDataFrame([(1.0, 1.0, 0.3), (2.0, 1.0, 0.25), (1.0, 3.0, 0.5), (40.0, 60.0, 0.5)], "a double, b double, p double")
+    got = [r[0] for r in rows.select(checks.beta_quantile("a", "b", "p")).collect()]
+    assert got[:3] == pytest.approx([0.3, 0.5, 1 - 0.5 ** (1 / 3)], abs=1e-12) and got[3] == pytest.approx(0.3993, abs=1e-3)
+    up = float(np.nextafter(np.float32(1), np.float32(2)))
+    pairs = spark.createDataFrame([([1.0], [1.0]), ([1.0], [up]), ([-0.0, 1.0], [0.0, up]), ([1e-45], [-1e-45])], "x array<float>, y array<float>")
+    assert [r[0] for r in pairs.select(checks.ulps("x", "y")).collect()] == [0, 1, 1, 2]
