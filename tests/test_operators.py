@@ -297,3 +297,31 @@ def test_beta_quantiles_and_last_places(spark):
     up = float(np.nextafter(np.float32(1), np.float32(2)))
     pairs = spark.createDataFrame([([1.0], [1.0]), ([1.0], [up]), ([-0.0, 1.0], [0.0, up]), ([1e-45], [-1e-45])], "x array<float>, y array<float>")
     assert [r[0] for r in pairs.select(checks.ulps("x", "y")).collect()] == [0, 1, 1, 2]
+
+
+def test_pages_fail_alone(spark):
+    from vellumspark.operators import model
+
+    def make():
+        def step(contents):
+            if any(c == b"bad" for c in contents):
+                raise ValueError("unreadable")
+            return [c.decode().upper() for c in contents]
+
+        return step
+
+    rows = [("d", 1, b"a"), ("d", 2, b"bad"), ("d", 3, None), ("e", 1, b"c")]
+    got = model.recognize(spark.createDataFrame(rows, "doc string, page int, content binary").coalesce(1), make, batch=3)
+    assert [tuple(r) for r in got.collect()] == [("d", 1, "A", None), ("d", 2, None, "ValueError: unreadable"), ("d", 3, None, "no content"), ("e", 1, "C", None)]
+    assert sorted(map(tuple, records.joined_pages(got).collect())) == [("d", "A", None), ("e", "C", None)]
+
+
+def test_inflating_is_bounded():
+    import zlib
+
+    from vellumspark.operators import model
+
+    assert model.inflated(zlib.compress(b"x" * 100), 5, 5, 1, 8) == b"x" * 100
+    assert model.inflated(b"plain", 5, 5, 1, 8) == b"plain"
+    with pytest.raises(ValueError):
+        model.inflated(zlib.compress(b"x" * 101), 5, 5, 1, 8)
