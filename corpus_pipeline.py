@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import line_dedup, mixing, packing, quality, simhash
+from vellumspark.llm import line_dedup, mixing, near_copies, packing, quality
 from vellumspark.llm.common import kept, table, visible
 
 
@@ -27,7 +27,7 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     visible(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
