@@ -20,8 +20,9 @@ def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text; documents of boilerplate only stay, with empty text."""
-    clean = line_dedup.dedup_lines(docs).drop("lines_dropped")
+    """n_chars follows the text; documents of boilerplate only stay, with empty text.
+    Copies of a text are one page, so that they don't make its lines boilerplate."""
+    clean = line_dedup.dedup_lines(docs, copies_once=True).drop("lines_dropped")
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -30,26 +30,31 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.hash(bare).alias("b")))
 
 
-def boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, drop): per host the keys of its boilerplate lines."""
+def boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+    """(host, drop): per host the keys of its boilerplate lines. Rows of one host and
+    text are one page if ``copies_once``."""
     pages = docs.select(host.alias("host"), F.col(text).cast("string").alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    if copies_once:
+        pages = pages.withColumn("page", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    totals = pages.groupBy("host").agg((F.count_distinct("page") if copies_once else F.count("*")).alias("pages"))
     keys = F.array_distinct(F.transform(lines(F.col("text")), line_key))
-    counts = pages.select("host", F.explode(keys).alias("k")).where("k IS NOT NULL").groupBy("host", "k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    said = pages.select("host", F.explode(keys).alias("k"), *["page"] * copies_once).where("k IS NOT NULL")
+    counts = (said.distinct() if copies_once else said).groupBy("host", "k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     over = counts.withColumnRenamed("host", "_host").join(totals, F.col("_host").eqNullSafe(F.col("host"))).where(F.col("n") > ratio * F.col("pages"))
     return over.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``, and how many as lines_dropped.
 
     Every row stays. A line goes if it is on over ``ratio`` of the rows of its host and
     on ``min_pages`` at least; lines are compared without white space around them, blank
     lines stay, and a row that says a line twice counts once. Null text stays null (0
     dropped); a text of boilerplate only becomes empty. Rows without a host are a site
-    of their own; repeated rows count each. A column called lines_dropped is replaced.
+    of their own; repeated rows count each, or copies of a text once a host if
+    ``copies_once``. A column called lines_dropped is replaced.
     """
-    drops = kept(boilerplate(docs, F.col(host), text, ratio, min_pages), "boilerplate")
+    drops = kept(boilerplate(docs, F.col(host), text, ratio, min_pages, copies_once), "boilerplate")
     key, gone = free_name(docs, "_line_host"), free_name(docs, "_line_drop")
     by = drops.select(F.col("host").alias(key), F.col("drop").alias(gone))
     many = by.agg(F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0]
