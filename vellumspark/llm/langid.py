@@ -27,8 +27,6 @@ ORDER = 4
 RUN = 32
 #: Distinct words that a counting or scoring worker holds.
 HELD = 200_000
-#: N-grams of the highest order that a language's model keeps (its commonest).
-MAX_GRAMS = 60_000
 #: Of learning documents, the share whose best cross-entropy is above the rejection bound.
 REJECTED = 0.001
 SHARPNESS = (4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
@@ -106,24 +104,6 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(batches, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def commonest(grams: DataFrame, most: int = MAX_GRAMS) -> DataFrame:
-    """At most ``most`` n-grams of each language: those over a count that the numbers of
-    n-grams by count give; nothing is sorted."""
-    sizes = grams.groupBy("lang", "n").agg(F.count("*").alias("k")).collect()
-    least: dict[str, int] = {}
-    for lang in {r.lang for r in sizes}:
-        total = 0
-        for r in sorted((r for r in sizes if r.lang == lang), key=lambda r: -r.n):
-            total += r.k
-            if total > most:
-                least[lang] = r.n + 1
-                break
-    keep = F.lit(True)
-    for lang, n in least.items():
-        keep = keep & ((F.col("lang") != lang) | (F.col("n") >= n))
-    return grams.where(keep)
-
-
 def hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all runs of ``size`` codes, by their last position."""
     n = len(codes) - size + 1
@@ -300,10 +280,10 @@ class Scorer(dict):
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of every non-null lang of ``docs``, from all its rows."""
+    """A model of every non-null lang of ``docs``, from all its rows and n-grams."""
     grams = kept(gram_counts(word_counts(docs)), "grams")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in commonest(grams).toLocalIterator():
+    for r in grams.toLocalIterator():
         counts[r.lang][r.gram] = r.n
     return build(counts)
 
