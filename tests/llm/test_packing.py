@@ -1,6 +1,8 @@
+import json
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +48,46 @@ def test_words_give_the_tokenizers_ids():
     assert known.ids(None).tolist() == [1]
 
 
+def test_many_words_at_once_give_the_tokenizers_ids():
+    known, tok = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(3)
+    alphabet = "aBeRvSstTmMlLdDzÀÞßÿ×÷é09''''-.,!<|>\x7f́中"
+    words = {"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(30_000)}
+    words |= {"it's", "'tis", "L'été", "IT'LL", "a'", "'", "''s", "x'rex", "9's", "--'ve", "n" * 64, "n" * 65}
+    got = dict(known.encoded([w.encode() for w in words]))
+    assert len(got) == len(words)
+    want = tok.encode_batch(sorted(words), add_special_tokens=False)
+    assert all(np.frombuffer(got[w.encode()], "<u4").tolist() == e.ids for w, e in zip(sorted(words), want, strict=True))
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    known, tok = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    for _ in range(40):
+        texts = [" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randrange(60))) for _ in range(5)]
+        got = known.many([t.encode() for t in texts])
+        assert [g.tolist() for g in got] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known, tok = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not known.by_word
+    for t in ("Hello World it's", "  two  spaces\n", "", "É <|endoftext|>x", "a\x85b"):
+        assert known.ids(t.encode()).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_rules_under_which_ids_could_differ_are_refused():
+    rules = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    assert packing.piece_ranks(rules)
+    first, *_, last = rules["model"]["merges"]
+    rules["model"]["merges"][0], rules["model"]["merges"][-1] = last, first
+    assert packing.piece_ranks(rules) is None
+    rules["normalizer"] = None
+    assert packing.piece_ranks(rules) is None
+
+
 @pytest.mark.parametrize("window", [8, 2048])
 def test_stream(window):
     rng = np.random.default_rng(2)

@@ -10,8 +10,9 @@ sequence a partition is padded.
 from __future__ import annotations
 
 import functools
-import re
+import json
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,73 +22,174 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID = 2048, 1
 END = END_ID.to_bytes(4, "little")
-#: Words and stems whose ids a worker remembers at once, and the longest in bytes that is split.
-REMEMBERED, STEMS, LONGEST = 100_000, 300_000, 64
-#: Letters that lower-case to one letter and compose with nothing, then ASCII signs other
-#: than those of contractions and special tokens.
-SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: Words whose ids a worker remembers in each of two generations; longer ones in bytes
+#: are encoded each time.
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of text that are looked up together.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 #: Bytes of ids in a batch that is handed on.
 BATCH_BYTES = 4 << 20
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
+#: Rules of a tokenizers file under which a text's ids are those of its words (fixed values).
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+BPE = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+#: Classes of bytes in words; ODD ones leave the word to the tokenizer.
+ODD, SPACE, LETTER, DIGIT, SIGN = range(5)
+
+
+def _classes() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x20] = SPACE
+    for b in range(0x21, 0x7F):
+        kinds[b] = LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN
+    kinds[list(b"<|>")] = ODD  # of special tokens
+    return kinds
+
+
+CLASSES = _classes()
+#: Contractions are pieces of their own.
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
+
+def _printable() -> dict[str, int]:
+    """Character by which a byte-level vocabulary writes a byte -> the byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Byte pairs merged, lowest rank first."""
+    while len(symbols) > 1:
+        rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(pairwise(symbols)))
+        if rank == len(ranks):
+            break
+        symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+    return symbols
+
+
+def piece_ranks(rules: dict) -> dict[bytes, int] | None:
+    """Bytes of a piece's tokens, a piece ending in a line feed, -> id by which pairs
+    merge; None if the rules are others, or merging by the tokens' ids could differ.
+
+    If merging any token's own symbols gives that token, a pair whose union is a token
+    meets only where the listed pair of that token meets, so unions tell as much as
+    pairs do.
+    """
+    model = rules["model"]
+    if any(rules[k] != v for k, v in BY_WORD.items()) or any(model[k] != v for k, v in BPE.items()):
+        return None
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not {"<", "|", ">"} & set(t["content"]) or t["content"].split() != [t["content"]] for t in rules["added_tokens"]):
+        return None
+    vocab, end, byte_of = model["vocab"], model["end_of_word_suffix"], _printable()
+    pairs = [tuple(p) for p in model["merges"]]
+    ranks = {p: i for i, p in enumerate(pairs)}
+    ids = [vocab[a + b] for a, b in pairs]
+    single = [*byte_of, *(c + end for c in byte_of)]
+    if any(x >= y for x, y in pairwise(ids)) or any(vocab.get(c, len(vocab)) >= ids[0] for c in single):
+        return None
+    for a, b in pairs:
+        token = a + b
+        bare = token.removesuffix(end)
+        if _merged([*bare[:-1], bare[-1] + token[len(bare) :]], ranks) != [token]:
+            return None
+    joined = {*single, *(a + b for a, b in pairs)}
+    return {bytes(byte_of[c] for c in t.removesuffix(end)) + b"\n" * t.endswith(end): vocab[t] for t in joined if t != "Ċ"} | {b"\n": len(vocab)}
+
 
 class WordIds:
-    """Ids of texts from remembered ids of words, as bytes of little-endian 32-bit ids.
+    """Ids of texts, as bytes of little-endian 32-bit ids.
 
-    Exact because the tokenizer's pieces never cross ASCII white space and its normaliser
-    changes nothing across it. A word of Latin letters and trailing ASCII signs is two
-    pieces, whose letters are case-free, so most new words are a known stem and tail; new
-    stems are encoded many at a time.
+    Under the rules BY_WORD the tokenizer's pieces never cross ASCII white space and its
+    normaliser changes nothing across it, so ids are remembered by word. New words of
+    Latin letters, digits and ASCII signs are lower-cased and cut into pieces many at a
+    time; words of anything else, and texts under other rules, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_stems(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 5000):
-            part = fresh[at : at + 5000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            piece, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
-            cuts = np.searchsorted(piece, np.arange(len(part) + 1))
-            if piece[-1] != len(part) - 1 or (np.diff(cuts) == 0).any():  # not one piece each
-                self.stems.update((x, self._alone(x)) for x in part)
-                continue
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.stems.update((x, data[i:j]) for x, i, j in zip(part, cuts, cuts[1:], strict=False))
+        with open(path, encoding="utf-8") as f:
+            ranks = piece_ranks(json.load(f))
+        self.by_word = ranks is not None
+        if self.by_word:
+            self.pieces = tiktoken.Encoding("pieces", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+            self.last = np.zeros(max(ranks.values()) + 1, bool)
+            self.last[[i for token, i in ranks.items() if token.endswith(b"\n")]] = True
+
+    def _alone(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, ids) of distinct words."""
+        data = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8).copy()
+        kind = CLASSES[data]
+        lead = np.flatnonzero(data == 0xC3)  # of Latin-1 letters; what follows them tells which
+        after = data[lead + 1]
+        good = (after != 0x97) & (after != 0xB7)
+        kind[lead[good]] = kind[lead[good] + 1] = LETTER
+        upper = lead[good & (after < 0x9F)] + 1
+        data[upper] += 0x20
+        capital = (data >= 0x41) & (data <= 0x5A)
+        data[capital] += 0x20
+
+        gaps = np.flatnonzero(kind == SPACE)
+        odd = np.logical_or.reduceat(kind == ODD, gaps)[:-1] | (np.diff(gaps) > LONGEST + 1)
+        fresh = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        fresh = np.concatenate([[False], fresh])
+        mark = np.flatnonzero((data == 0x27) & fresh)
+        for tail in CONTRACTIONS:
+            at = mark[mark + len(tail) < len(data)]
+            for k, c in enumerate(tail, 1):
+                at = at[data[at + k] == c]
+            fresh[at + 1] = False
+            at = at + len(tail) + 1
+            fresh[at] |= kind[at] == LETTER
+        plain = kind != SPACE
+        plain &= np.repeat(np.append(~odd, False), np.diff(np.append(gaps, len(data))))
+        starts = fresh & plain
+        counts = np.add.reduceat(starts, gaps, dtype=np.int64)[:-1][~odd]
+        starts = starts[plain]
+        text = np.full(len(starts) + int(counts.sum()), 0x0A, np.uint8)
+        text[np.arange(len(starts)) + np.cumsum(starts) - 1] = data[plain]
+        ids = self.pieces.encode_to_numpy(text.tobytes().decode()).astype("<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        cuts = (4 * np.concatenate([[0], ends[np.cumsum(counts) - 1]])).tolist() if len(counts) else []
+        packed = ids.tobytes()
+        yield from zip((w for w, o in zip(words, odd.tolist(), strict=True) if not o), (packed[i:j] for i, j in pairwise(cuts)), strict=True)
+        yield from ((w, self._alone(w)) for w, o in zip(words, odd.tolist(), strict=True) if o)
 
     def learn(self, words: set[bytes]) -> None:
         fresh = words.difference(self.words)
         if len(self.words) + len(fresh) > REMEMBERED:  # what is still in use moves on
             self.before, self.words = self.words, {}
             fresh = words
-        again = fresh.intersection(self.before) if self.before else ()
+        again = fresh.intersection(self.before) if self.before else set()
         self.words.update((w, self.before[w]) for w in again)
-        split = [(w, SPLIT.fullmatch(w.decode("utf-8", "replace")) if len(w) <= LONGEST else None) for w in fresh.difference(again)]
-        parts = [(w, m[1].lower(), m[2]) for w, m in split if m]
-        both = {x for _, *xs in parts for x in xs}
-        need = both.difference(self.stems)
-        if len(self.stems) + len(need) > STEMS:
-            self.stems = {"": b""}
-            need = both - {""}
-        self._learn_stems([x for x in need if x[0].isalpha()])
-        self.stems.update((x, self._alone(x)) for x in need if not x[0].isalpha())
-        stems = self.stems
-        self.words.update((w, stems[stem] + stems[tail]) for w, stem, tail in parts)
-        self.words.update((w, self._alone(w.decode("utf-8", "replace"))) for w, m in split if not m)
+        fresh = list(fresh - again)
+        if fresh:
+            self.words.update(self.encoded(fresh))
 
     def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text, END_ID last."""
+        if not self.by_word:
+            return [np.frombuffer(self._alone(t or b"") + END, "<u4") for t in texts]
         cut = [t.split() if t else [] for t in texts]
         self.learn(set().union(*cut))
         known = self.words.__getitem__
