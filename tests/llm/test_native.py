@@ -1,5 +1,7 @@
 """Line dedup, URL filter and mixing on rows that the tables don't hold, against DuckDB."""
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
@@ -75,6 +77,30 @@ def test_targets_share_the_excess(spark):
     assert got == {"a": 30.0, "c": 3.0, "b": 2 * 1478 / 3, None: 1478 / 3}
 
 
+def test_no_document_of_a_stopped_source_is_taken_too_often(spark):
+    rows = [(i, None if i % 3 else "few words", None, "a", 0, 1, "u") for i in range(200)] + [(1000 + i, "w " * 50, None, "b", 0, 1, "u") for i in range(200)]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.times for r in mixed if r.source == "a"} == {3} and max(r.times for r in mixed) <= 3
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    rows = [(f"s{i:04}", rng.choice([0, 1, 5, 50, 4000])) for i in range(300)] + [(None, 7)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    weight = {s: (1, 2, 3)[k % 3] for k, (s, _) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "")))}
+    left, open_, want = sum(n for _, n in rows), dict(rows), {}
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s, n in open_.items() if level * weight[s] > 3 * n]
+        if not over:
+            break
+        for s in over:
+            want[s] = 3 * open_.pop(s)
+            left -= want[s]
+    want |= {s: level * weight[s] for s in open_}
+    assert got == pytest.approx(want)
+
+
 PAGES = "page_id long, url string, html string, host string, n int"
 
 
