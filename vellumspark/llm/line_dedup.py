@@ -16,8 +16,9 @@ from .common import free_name, kept
 
 #: A line is boilerplate on over RATIO of its host's pages, MIN_PAGES at least.
 RATIO, MIN_PAGES = 0.02, 5
-#: Boilerplate lines that are sent to all tasks; beyond it, hosts are joined.
-BROADCAST_LINES = 50_000
+#: Boilerplate lines that are sent to all tasks; beyond it, hosts are joined, each host's
+#: rows dealt over so many keys.
+BROADCAST_LINES, SALTS = 50_000, 64
 
 
 def lines(text: Column) -> Column:
@@ -55,15 +56,20 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio
     ``copies_once``. A column called lines_dropped is replaced.
     """
     drops = kept(boilerplate(docs, F.col(host), text, ratio, min_pages, copies_once), "boilerplate")
-    key, gone = free_name(docs, "_line_host"), free_name(docs, "_line_drop")
+    key, gone, salt = (free_name(docs, c) for c in ("_line_host", "_line_drop", "_line_salt"))
     by = drops.select(F.col("host").alias(key), F.col("drop").alias(gone))
     many = by.agg(F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0]
-    joined = docs.join(F.broadcast(by) if many <= BROADCAST_LINES else by, F.col(host).eqNullSafe(F.col(key)), "left")
+    same = F.col(host).eqNullSafe(F.col(key))
+    if many <= BROADCAST_LINES:
+        joined = docs.join(F.broadcast(by), same, "left")
+    else:
+        salted = by.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.join(salted, same & (F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int") == F.col(salt)), "left").drop(salt)
     whole = lines(F.col(text).cast("string"))
     held = F.array_intersect(F.transform(whole, line_key), F.col(gone))
+    cut = joined.withColumn(gone, held)
     stay = F.filter(whole, lambda x: F.coalesce(~F.array_contains(F.col(gone), line_key(x)), F.lit(True)))
-    hit = F.col(gone).isNotNull() & (F.size(held) > 0)
-    cut = joined.withColumn(gone, F.when(hit, stay))
+    cut = cut.withColumn(gone, F.when(F.size(gone) > 0, stay))
     clean = F.when(F.col(gone).isNotNull(), F.array_join(gone, "\n")).otherwise(F.col(text))
     dropped = F.when(F.col(gone).isNotNull(), F.size(whole) - F.size(gone)).otherwise(0)
     return cut.withColumn("lines_dropped", dropped).withColumn(text, clean).select(*[c for c in docs.columns if c != "lines_dropped"], "lines_dropped")
