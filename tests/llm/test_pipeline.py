@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vellumspark.llm import line_dedup, quality
-from tests_llm_brute import links, simhash_of
+from test_quality_brute import brute
+from tests_llm_brute import near
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def rows_of(df):
 
 
 def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near duplicates", "mixing", "packing"]
@@ -32,7 +33,7 @@ def test_stages(spark):
 
     docs = write(docs, "docs")
     good = write(stages["quality"](spark, docs, SF), "good")
-    keep = {r.doc_id for r in quality.score(docs, labels).collect() if r.keep}
+    keep = {d for d, p in brute(docs.collect(), labels.collect()).items() if p >= quality.KEEP}
     assert good.columns == docs.columns and rows_of(good) == rows_of(docs.where(docs.doc_id.isin(list(keep))))
 
     lines = write(stages["lines"](spark, good, SF), "lines")
@@ -47,7 +48,7 @@ def test_stages(spark):
 
     one = write(stages["near duplicates"](spark, lines, SF), "one")
     texts = {r.doc_id: r.text for r in lines.collect()}
-    first = links({d: simhash_of(t) for d, t in texts.items()})
+    first = near(texts)
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {d for d in texts if first[d] == d}
 
     mixed = write(stages["mixing"](spark, one, SF), "mixed")

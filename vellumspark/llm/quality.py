@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Documents with labels, and without, that fitting uses at most.
 LABELLED, POOL = 12_000, 12_000
 ROUNDS, EXCHANGE, SURE = 4, 0.05, 0.97
@@ -199,7 +201,8 @@ def _matrices(view: TextView, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray
 
 def sample_features(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> tuple:
     """Features of the ``labelled`` labelled and ``pool`` unlabelled documents of smallest
-    id hash: (text, meta, y, pool_text, pool_meta). Of repeated labels the worst counts."""
+    id hash: (text, meta, y, pool_text, pool_meta). Of repeated labels the worst counts,
+    of rows that repeat a doc_id one, so that no more than the two bounds are gathered."""
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(marks, "doc_id", "left")
     rank = F.xxhash64("doc_id")
@@ -214,7 +217,8 @@ def sample_features(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
             yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(data, pa.binary())], names=["doc_id", "y", "data"])
 
     rows = _rows(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "source", "lang", "n_chars", F.col("y").cast("double"))
-    got = sorted(((r.doc_id, bytes(r.data), r.y) for r in rows.mapInArrow(batches, "doc_id long, y double, data binary").toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
+    once = rows.mapInArrow(batches, "doc_id long, y double, data binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("data").alias("data"))
+    got = sorted(((r.doc_id, bytes(r.data), r.y) for r in once.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     x = np.frombuffer(b"".join(r[1] for r in got), "<f4").reshape(-1, TEXT_FEATURES + META_FEATURES).astype(float)
     y = np.array([np.nan if r[2] is None else float(r[2] > 0) for r in got])
     known = ~np.isnan(y)
@@ -222,19 +226,21 @@ def sample_features(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
     return text[known], meta[known], y[known], text[~known], meta[~known]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> CoModel | None:
-    return cotrain(*sample_features(docs, labels))
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoModel | None:
+    return cotrain(*sample_features(docs, labels, labelled, pool))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """(doc_id, score, text_score, meta_score, keep) of every row of ``docs``.
 
     ``score`` is the probability of good quality, from whole texts and (source, lang,
     n_chars). Null and empty texts and null metadata are scored as such; repeated rows
     count each. Without at least 8 labelled documents of either class nothing is known:
-    every score is 0.5 and all documents are kept. Other columns are not read.
+    every score is 0.5 and all documents are kept. Other columns are not read. Fitting
+    takes at most ``labelled`` labelled documents and ``pool`` others that the views label
+    for each other, whatever the table's size; all documents are scored.
     """
-    model = train(docs, labels)
+    model = train(docs, labels, labelled, pool)
     rows = _rows(docs)
     if model is None:
         half = [F.lit(0.5).alias(c) for c in ("score", "text_score", "meta_score")]
@@ -253,16 +259,21 @@ def _scorer(model: CoModel, keep: float, carried: list[str]):
     return batches
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """``docs`` without the rows that are rejected, columns as they are."""
-    model = train(docs, labels)
+def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    """``docs`` without the rows that ``score`` would not keep, columns as they are."""
+    model = train(docs, labels, labelled, pool)
     if model is None:
         return docs
+    types, own = dict(docs.dtypes), {}
+    for name, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "bigint")):
+        own[name] = name if types[name] == kind else free_name(docs, f"_{name}")
+    rows = docs.withColumns({new: F.col(name).cast("bigint" if name == "n_chars" else "string") for name, new in own.items() if new != name})
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = TextView()
         for b in it:
             if b.num_rows:
-                yield b.filter(pa.array(model.scores(*_matrices(view, b))[0] >= keep))
+                read = pa.record_batch([b.column(new) for new in own.values()], names=list(own))
+                yield b.filter(pa.array(model.scores(*_matrices(view, read))[0] >= keep))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return rows.mapInArrow(batches, rows.schema).select(*docs.columns)
