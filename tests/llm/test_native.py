@@ -104,23 +104,36 @@ def test_targets_of_many_sources(spark):
 PAGES = "page_id long, url string, html string, host string, n int"
 
 
-def pages():
+def pages(big=False):
     rows = [(i, f"http://WWW.Site.net/en/{i}.html?q#f" if i % 2 else f"https://site.net/shop/x{i % 3}/buy/now/{i}/deep", "h", "h", 1) for i in range(300)]
     rows += [(1000 + i, f"https://mixed.io/{'spam' if i % 4 == 0 else 'news'}/{'abcdefghij'[i % 10]}", "h", "h", 1) for i in range(300)]
-    odd = [None, "", "no scheme", "http://", "http://a.org", "http://a.org/", "HTTP://ORG/x", "x://corg/", "http://example.org/es/1", "http://a.example.org/en/12", "http://b.com/de/é?x", "http://b.com/fr#a", "http://h/a\nb/c?d", "a://b://c/d", "http://u/Ä/İ", "http://ÄB.ORG/1"]
+    rows += [(2000 + i, f"https://deep.io/a/b/c/d/e/{'casino' if i % 5 == 0 else 'guide'}/{i}", "h", "h", 1) for i in range(300)]
+    rows += [(10_000 + i, f"https://big.io/{'spam' if i < 30 else 'page'}/{i}", "h", "h", 1) for i in range(3000 if big else 0)]
+    odd = [None, "", "http://long.io/" + "x/" * (3000 if big else 6), "no scheme", "http://", "http://a.org", "http://a.org/", "HTTP://ORG/x", "x://corg/", "http://example.org/es/1", "http://a.example.org/en/12", "http://b.com/de/é?x", "http://b.com/fr#a", "http://h/a\nb/c?d", "a://b://c/d", "http://u/Ä/İ", "http://ÄB.ORG/1"]
     return rows + [(5000 + i, u, None, "h", 1) for i, u in enumerate(odd)] + [(None, "http://x.net/", None, "h", 1), (5001, "", None, "h", 1)]
 
 
 @pytest.mark.parametrize("empty", [(), ("pages",), ("labels",)])
 def test_urls(spark, empty):
     rows = [] if "pages" in empty else pages()
-    labels = [] if "labels" in empty else [(i, None if i % 7 == 0 else i % 3, 0) for i in range(0, 300, 2)] + [(1000 + i, int(i % 4 != 0), None) for i in range(0, 300)] + [(1001, None, 1), (None, 0, 0), (4, 0, 1), (4, 1, 0)]
+    labels = [] if "labels" in empty else [(2000 + i, int(i % 5 != 0), 0) for i in range(300)] + [(i, None if i % 7 == 0 else i % 3, 0) for i in range(0, 300, 2)] + [(1000 + i, int(i % 4 != 0), None) for i in range(0, 300)] + [(1001, None, 1), (None, 0, 0), (4, 0, 1), (4, 1, 0)]
     cols, want = duck(oracles.url_filter_sql(), pages=(rows, "page_id BIGINT, url VARCHAR, html VARCHAR, host VARCHAR, n INT"), labels=(labels, "doc_id BIGINT, quality INT, toxic INT"))
     got = url_filter.judge(spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     same(got, cols, want)
     if not empty:
         by = {r.page_id: r for r in got.collect()}
         assert by[1000].verdict == "block" and by[1001].verdict == "allow" and by[1000].template == "/spam/*"
-        rules = {i: by[5000 + i].rule for i in range(16)}
+        assert {by[2000 + i].verdict for i in range(0, 300, 5)} == {"block"} and by[2001].verdict == "allow"
+        rules = {i - (i > 1): by[5000 + i].rule for i in range(17) if i != 2}
         assert [rules[i] for i in (4, 5, 6, 7, 8, 9, 10, 11)] == [None, "org/", "org/", None, "example.org/es/", "example.org/en/1", "com/de/", None]
-        assert by[5000].host == by[5000].path == "" and by[5013].host == "b:"
+        assert by[5000].host == by[5000].path == "" and by[5014].host == "b:"
+
+
+def test_small_sections_of_large_hosts_and_very_long_paths(spark):
+    rows = pages(big=True)
+    labels = [(10_000 + i, int(i >= 30), 0) for i in range(0, 3000, 3)]
+    extra = "doc_id long, quality int, toxic int, host string, path string, shape string"
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, PAGES), spark.createDataFrame([(*r, "h", "p", "s") for r in labels], extra)).collect()}
+    assert {got[10_000 + i].verdict for i in range(30)} == {"block"} and got[10_000].template == "/spam/*"
+    assert {got[10_000 + i].verdict for i in range(30, 3000)} == {"allow"}
+    assert got[5002].template == "/*" * 3000 and got[5002].verdict == "allow"

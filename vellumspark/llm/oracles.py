@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import line_dedup, mixing, url_filter
 
+#: Levels of the URL tree that are written out: more than any path of the tables has.
+LEVELS = 9
 #: Words of a text, as in common.WORD.
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -74,14 +76,13 @@ def url_filter_sql() -> str:
         fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + rest}')"
         rule, verdict = f"{rule} {fits} THEN '{text}'", f"{verdict} {fits} THEN '{word}'"
     levels = ""
-    for k in range(u.DEPTH + 1):
+    for k in range(LEVELS):
         levels += f"""
 , r{k} AS (SELECT *, CASE WHEN len(string_split(shape, '/')) > {k} THEN string_split(shape, '/')[{k + 1}] ELSE '' END AS part FROM t{k})
 , c{k} AS (SELECT host, template, part, sum(n) AS n, sum(m)::DOUBLE AS m, sum(b)::DOUBLE AS b FROM r{k} GROUP BY host, template, part)
 , p{k} AS (SELECT host, template, sum(n) AS na, sum(m)::DOUBLE AS ma, sum(b)::DOUBLE AS ba FROM r{k} GROUP BY host, template)
 , s{k} AS (
-    SELECT host, template, part, CASE WHEN part = '' THEN '' WHEN n >= {u.SUPPORT} AND n >= {u.SHARE} * na
-        AND m >= {u.BRANCH_LABELS} AND ma - m >= {u.BRANCH_LABELS} AND ba > 0 AND ba < ma
+    SELECT host, template, part, CASE WHEN part = '' THEN '' WHEN n >= {u.SUPPORT}  AND m >= {u.BRANCH_LABELS} AND ma - m >= {u.BRANCH_LABELS} AND ba > 0 AND ba < ma
         AND abs(b / m - (ba - b) / (ma - m)) > {u.DIFFER} * sqrt((b + (ba - b)) / (m + (ma - m)) * (1 - (b + (ba - b)) / (m + (ma - m))) * (1 / m + 1 / (ma - m)))
         THEN '/' || part ELSE '/*' END AS step
     FROM c{k} JOIN p{k} USING (host, template))
@@ -94,7 +95,7 @@ WITH parsed AS (
 ), cut AS (
     SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '*', 'g')) AS ps FROM parsed
 ), shaped AS (
-    SELECT page_id, host, path, coalesce(array_to_string(CASE WHEN len(ps) > {u.DEPTH} THEN list_append(ps[1:{u.DEPTH}], '**') ELSE ps END, '/'), '') AS shape FROM cut
+    SELECT page_id, host, path, coalesce(array_to_string(ps, '/'), '') AS shape FROM cut
 ), marks AS (
     SELECT doc_id, max((coalesce(quality = 0, false) OR coalesce(toxic = 1, false))::INT) AS bad
     FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id
@@ -102,16 +103,16 @@ WITH parsed AS (
     SELECT host, shape, count(*) AS n, count(bad) AS m, coalesce(sum(bad), 0) AS b, '' AS template
     FROM shaped LEFT JOIN marks ON page_id = doc_id GROUP BY host, shape
 ){levels}
-, whole AS (SELECT coalesce(sum(b)::DOUBLE / nullif(sum(m), 0), 0) AS base FROM t{u.DEPTH + 1})
-, hosts AS (SELECT host, sum(b) AS hb, sum(m) AS hm FROM t{u.DEPTH + 1} GROUP BY host)
-, each AS (SELECT host, template, sum(b) AS b, sum(m) AS m FROM t{u.DEPTH + 1} GROUP BY host, template HAVING sum(m) >= {u.TEMPLATE_LABELS})
+, whole AS (SELECT coalesce(sum(b)::DOUBLE / nullif(sum(m), 0), 0) AS base FROM t{LEVELS})
+, hosts AS (SELECT host, sum(b) AS hb, sum(m) AS hm FROM t{LEVELS} GROUP BY host)
+, each AS (SELECT host, template, sum(b) AS b, sum(m) AS m FROM t{LEVELS} GROUP BY host, template HAVING sum(m) >= {u.TEMPLATE_LABELS})
 , bad AS (
     SELECT host, template FROM each JOIN hosts USING (host), whole
     WHERE (b + {u.PRIOR}::DOUBLE * ((hb + {u.PRIOR}::DOUBLE * base) / (hm + {u.PRIOR}::DOUBLE))) / (m + {u.PRIOR}::DOUBLE) > {u.REJECT}
 )
 SELECT page_id, host, path, CASE{rule} ELSE NULL END AS rule,
     CASE{verdict} WHEN (host, t.template) IN (SELECT (host, template) FROM bad) THEN 'block' ELSE 'allow' END AS verdict, t.template AS template
-FROM shaped JOIN t{u.DEPTH + 1} t USING (host, shape)
+FROM shaped JOIN t{LEVELS} t USING (host, shape)
 """
 
 

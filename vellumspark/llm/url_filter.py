@@ -2,8 +2,8 @@
 
 Columns, aggregates and equi-joins only. Paths become shapes (digits generalised), and
 everything after works on one row per host and shape. Level by level a segment keeps
-its value if enough of its parent's pages have it and its labelled share of bad pages
-differs from its siblings'; other values and similar branches merge into '*'. A
+its value if enough pages have it and its labelled share of bad pages differs from its
+siblings'; other values and similar branches merge into '*'. A
 template is rejected if its smoothed share of bad pages is too high.
 """
 
@@ -16,10 +16,8 @@ from .common import kept
 
 #: Longest wins; (host and path prefix, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Levels of the tree; what lies deeper is one last segment.
-DEPTH = 4
-#: A literal branch has so many pages and such a share of its parent's.
-SUPPORT, SHARE = 20, 0.01
+#: A literal branch has so many pages.
+SUPPORT = 20
 #: |z| of the two-proportion test from which branches differ, and labels each side needs.
 DIFFER, BRANCH_LABELS = 1.96, 5
 #: Weight of the parent rate in smoothing, labels a rejected template has, rejecting rate.
@@ -49,31 +47,40 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
-def shape_of(path: Column, depth: int = DEPTH) -> Column:
-    """Segments with digit runs as '*', joined by '/'; beyond ``depth`` one '**'."""
-    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "*"))
-    return F.array_join(F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts), "/")
+def shape_of(path: Column) -> Column:
+    """Segments with digit runs as '*', joined by '/'."""
+    return F.array_join(F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "*")), "/")
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, shape, n, m, b): pages, labelled and bad ones -> with ``template``."""
-    split = F.split("shape", "/")
-    now = kept(shapes.select("*", F.lit("").alias("template")), "shapes")
-    for level in range(depth + 1):
-        part = F.when(F.size(split) > level, split[level]).otherwise("")
-        rows = now.withColumn("part", part)
-        child = rows.groupBy("host", "template", "part").agg(*[F.sum(c).alias(c) for c in "nmb"])
-        parent = rows.groupBy("host", "template").agg(*[F.sum(c).alias(c.upper() + "all") for c in "nmb"])
-        both = child.join(parent, ["host", "template"])
+def templates(shapes: DataFrame) -> DataFrame:
+    """(host, shape, n, m, b): pages, labelled and bad ones -> with ``template``.
+
+    A level at a time, as deep as paths go. Below a branch that has too few pages or
+    labels, or labels of one kind only, no branch can be told apart, so what follows is
+    '*' to the end and such rows leave the loop; its rounds are few even if some url has
+    thousands of segments.
+    """
+    split, deep = F.split("shape", "/"), F.when(F.col("shape") == "", 0).otherwise(F.size(F.split("shape", "/")))
+    now, whole, level = kept(shapes.select("*", F.lit("").alias("template")), "shapes"), None, 0
+    while True:
+        parent = now.groupBy("host", "template").agg(*[F.sum(c).alias(c.upper() + "all") for c in "nmb"])
+        alive = (F.col("Nall") >= SUPPORT) & (F.col("Mall") >= 2 * BRANCH_LABELS) & (F.col("Ball") > 0) & (F.col("Ball") < F.col("Mall"))
+        rows = kept(now.join(parent, ["host", "template"]).withColumn("open", alive & (deep >= level)).withColumn("part", F.when(deep > level, split[level]).otherwise("")), "shapes")
+        done = rows.where("NOT open").select("host", "shape", "n", "m", "b", F.concat("template", F.repeat(F.lit("/*"), F.greatest(deep - level, F.lit(0)))).alias("template"))
+        whole = done if whole is None else whole.unionByName(done)
+        rows = rows.where("open")
+        if not rows.take(1):
+            return whole
+        child = rows.groupBy("host", "template", "part").agg(*[F.sum(c).alias(c) for c in "nmb"], *[F.first(c).alias(c) for c in ("Mall", "Ball")])
         m, b, rest_m, rest_b = F.col("m").cast("double"), F.col("b").cast("double"), (F.col("Mall") - F.col("m")).cast("double"), (F.col("Ball") - F.col("b")).cast("double")
         rate = (b + rest_b) / (m + rest_m)
         spread = F.sqrt(rate * (1 - rate) * (1 / m + 1 / rest_m))
         enough = (F.col("m") >= BRANCH_LABELS) & (F.col("Mall") - F.col("m") >= BRANCH_LABELS)
-        apart = F.when(enough & (F.col("b") + (F.col("Ball") - F.col("b")) > 0) & (F.col("Ball") < F.col("Mall")), F.abs(b / m - rest_b / rest_m) > DIFFER * spread).otherwise(False)
-        literal = (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("Nall")) & apart
-        named = both.select("host", "template", "part", F.when(F.col("part") == "", "").when(literal, F.concat(F.lit("/"), "part")).otherwise("/*").alias("step"))
+        apart = F.when(enough, F.abs(b / m - rest_b / rest_m) > DIFFER * spread).otherwise(False)
+        literal = (F.col("n") >= SUPPORT) & apart
+        named = child.select("host", "template", "part", F.when(F.col("part") == "", "").when(literal, F.concat(F.lit("/"), "part")).otherwise("/*").alias("step"))
         now = kept(rows.join(named, ["host", "template", "part"]).select("host", "shape", "n", "m", "b", F.concat("template", "step").alias("template")), "shapes")
-    return now
+        level += 1
 
 
 def rejected(found: DataFrame) -> DataFrame:
