@@ -73,6 +73,33 @@ def test_byte_level_is_a_bijection(spark):
     assert bytes(back[c] for c in got).decode() == text
 
 
+def test_pieces_and_bytes_keep_everything(spark):
+    text = "a\0b  c\n\n12\0\0é"
+    assert "".join(one(spark, T.pretokenized(F.col("t")), t=text)) == text
+    assert one(spark, F.size(T.pieces(F.col("t"), T.GPT_WORD)), t="\0\0x") == 2
+    long = "é\0" * 200_000
+    assert len(one(spark, T.byte_level(F.col("t")), t=long)) == 600_000 and one(spark, T.byte_level(F.col("t")), t="\0 ") == "\u0100\u0120"
+
+
+def test_values_are_inherited_from_64_nodes(spark):
+    from vellumspark.operators import checks
+
+    rows = [(i, i - 1 if i else None, 90 if i == 0 else None) for i in range(140)] + [(500, 501, None), (501, 500, None)]
+    got = {r.id: r.value for r in checks.inherited(spark.createDataFrame(rows, "id long, parent long, value int")).collect()}
+    assert {i for i, v in got.items() if v == 90} == set(range(64)) and len(got) == 142
+    with pytest.raises(ValueError):
+        checks.inherited(spark.createDataFrame(rows, "id long, parent long, value int"), 60)
+
+
+def test_running_heads_and_page_numbers(spark):
+    heads = {"THE HISTORY OF ROME": True, " 12  THE HISTORY [1848] ": True, "A": True, "12": False, "The X": False, "CHAP. II. 14": True, "(NOTE)": False, "X [ 184 ]": True, "X [18]": False, "ÉTÉ": False, "": False}
+    df = spark.createDataFrame([(k,) for k in heads], "t string")
+    assert {r.t: r.h for r in df.select("t", T._header(F.col("t")).alias("h")).collect()} == heads
+    pages = {"one\n[ 12 ]": "one", "one\n1234": "one", "one\n12345": "one 12345", "one\n[]": "one []", "9": "9"}
+    df = spark.createDataFrame([(k,) for k in pages], "t string")
+    assert {r.t: r.n for r in df.select("t", T.normalized(F.col("t")).alias("n")).collect()} == pages
+
+
 def test_word_distance(spark):
     rng = random.Random(6)
     for _ in range(12):

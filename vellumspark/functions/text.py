@@ -18,6 +18,9 @@ GPT_WORD = "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~][A-Za-z]+|[^\\r\\n\\p{L}
 #: Quotes and dashes that become ASCII (fixed values).
 QUOTES, DASHES = "‘’‚‛′“”„‟″", "‐‑‒–—―−"
 PLAIN = "'" * 5 + '"' * 5
+#: What a running head may hold besides capitals, digits and ASCII white space (fixed values).
+HEAD_SIGNS = ".,'\"&:;()-"
+CAPITALS, DIGITS, SPACES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\f\r"
 
 
 def words(text: Column) -> Column:
@@ -40,8 +43,7 @@ def collapsed(text: Column) -> Column:
 
 def pieces(text: Column, pattern: str) -> Column:
     """Matches and the gaps between them, in order; nothing is dropped."""
-    marked = F.regexp_replace(text, f"({pattern})", "\u0000$1\u0000")
-    return F.filter(F.split(marked, "\u0000"), lambda p: p != "")
+    return F.regexp_extract_all(text, F.lit(f"{pattern}|(?:(?!{pattern})[\\s\\S])+"), 0)
 
 
 def digit_groups(text: Column) -> Column:
@@ -62,19 +64,36 @@ def pretokenized(text: Column) -> Column:
 def byte_level(text: Column) -> Column:
     """Bytes as printable code points: 188 stand for themselves, 68 move to U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
-    table = F.array(*[F.lit(chr(moved.get(b, b))) for b in range(256)])
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
-    return F.when(F.octet_length(text) > 0, F.array_join(F.transform(codes, lambda c: F.element_at(table, c + 1)), "")).otherwise(text)
+    rest = [b for b in range(256) if b not in own]
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "".join(map(chr, rest)), "".join(chr(256 + k) for k in range(len(rest))))
 
 
 def plain_signs(text: Column) -> Column:
     return F.translate(text, QUOTES + DASHES, PLAIN + "-" * len(DASHES))
 
 
+def _without(line: Column, first: str, last: str) -> Column:
+    """One sign ``first`` before the line and one ``last`` after it go, and white space."""
+    bare = F.btrim(line, F.lit(SPACES))
+    if first:
+        bare = F.when(F.startswith(bare, F.lit(first)), F.substr(bare, F.lit(2))).otherwise(bare)
+    bare = F.when(F.endswith(bare, F.lit(last)), F.left(bare, F.char_length(bare) - 1)).otherwise(bare)
+    return F.btrim(bare, F.lit(SPACES))
+
+
+def _number(text: Column, least: int, most: int) -> Column:
+    return F.char_length(text).between(least, most) & (F.translate(text, DIGITS, "") == "")
+
+
 def _header(line: Column) -> Column:
-    """A running head: capitals, maybe with a page number or a year in brackets."""
-    return ~line.rlike("\\p{Ll}") & line.rlike("^\\s*(?:\\d{1,4}\\s+)?(?=.*[A-Z])[A-Z0-9][A-Z0-9\\s.,'\"&:;()-]*(?:\\s+\\d{1,4})?(?:\\s*\\[\\s*\\d{3,4}\\s*\\])?\\s*$")
+    """A running head: capitals, digits and a few signs, beginning with one of the first
+    two and holding a capital; a year of three or four digits in brackets may follow."""
+    bare = F.btrim(line, F.lit(SPACES))
+    tail = F.substring_index(bare, "[", -1)
+    dated = F.endswith(bare, F.lit("]")) & F.contains(bare, F.lit("[")) & _number(_without(tail, "", "]"), 3, 4)
+    title = F.when(dated, F.btrim(F.left(bare, F.char_length(bare) - F.char_length(tail) - 1), F.lit(SPACES))).otherwise(bare)
+    begins = F.contains(F.lit(CAPITALS + DIGITS), F.left(title, F.lit(1))) & (title != "")
+    return begins & (F.translate(title, CAPITALS, "") != title) & (F.translate(title, CAPITALS + DIGITS + HEAD_SIGNS + SPACES, "") == "")
 
 
 def normalized(text: Column) -> Column:
@@ -82,7 +101,7 @@ def normalized(text: Column) -> Column:
     remain, hyphenated line ends joined, lower case, single spaces."""
 
     def without_tail(lines: Column) -> Column:
-        page = F.element_at(lines, -1).rlike("^\\s*\\[?\\s*\\d{1,4}\\s*\\]?\\s*$")
+        page = _number(_without(F.element_at(lines, -1), "[", "]"), 1, 4)
         return F.when((F.size(lines) >= 2) & page, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
     def without_head(lines: Column) -> Column:

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .tables import settled
 from pyspark.sql.types import DoubleType, LongType
 
 WIDTHS = {"F32": 4, "F16": 2, "BF16": 2, "I8": 1}
@@ -23,12 +25,15 @@ def directory_violations(dtype: Column, shape: Column, offset: Column, size: Col
     return violations((width.isNotNull(), "dtype"), (width * cells == size, "bytes"), ((offset >= 0) & (offset + size <= payload), "range"))
 
 
-def inherited(nodes: DataFrame, hops: int = 64) -> DataFrame:
+def inherited(nodes: DataFrame, visited: int = 64) -> DataFrame:
     """(id, parent, value) -> (id, value): a node's own value or that of its nearest
-    ancestor within ``hops``. Pointers double, so the joins are the logarithm of ``hops``."""
-    now = nodes.select("id", F.when(F.col("value").isNull(), F.col("parent")).alias("up"), "value")
-    reach = 1
-    while reach <= hops:
+    ancestor, of ``visited`` nodes on the way up (a power of two), itself the first.
+    Pointers double, and every round is settled, so the joins are the logarithm."""
+    if visited & (visited - 1) or visited < 1:
+        raise ValueError("visited must be a power of two")
+    now, reach = nodes.select("id", F.when(F.col("value").isNull(), F.col("parent")).alias("up"), "value"), 1
+    while reach < visited:
+        now = settled(now)
         above = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("value").alias("_v"))
         joined = now.join(above, F.col("up") == F.col("_id"), "left")
         now = joined.select("id", F.when(F.col("value").isNull() & F.col("_v").isNull(), F.col("_up")).alias("up"), F.coalesce("value", "_v").alias("value"))

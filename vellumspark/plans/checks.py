@@ -39,15 +39,14 @@ def p19_both_ways(spark, sf):
     return checks.both_ways(read(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")))
 
 
-@query("""WITH RECURSIVE u AS (SELECT p_partkey AS id, p_partkey AS at, CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 4 * 90 - 90 END AS v, 0 AS hops FROM part
-    UNION ALL SELECT u.id, p.p_partkey, CASE WHEN p.p_partkey % 7 = 0 THEN p.p_partkey % 4 * 90 - 90 END, hops + 1 FROM u JOIN part p ON p.p_partkey = u.at // 2 AND u.v IS NULL AND u.at <> u.at // 2 WHERE hops < 64)
-SELECT id, ((coalesce(max(v), 0) % 360 + 360) % 360)::INTEGER AS rotation FROM u GROUP BY id""")
+@query("""SELECT a.p_partkey AS id, CASE WHEN a.p_partkey % 100 < 64 THEN coalesce((b.p_partkey * 90 % 360 - 90 + 360) % 360, 0) ELSE 0 END::INTEGER AS rotation
+FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 100""")
 def s12_rotation(spark, sf):
-    """Each part's parent is the one of half its number; a seventh know their rotation."""
+    """Chains of a hundred parts of which the first knows its rotation: 64 find it."""
     from vellumspark.operators import checks
 
     k = F.col("p_partkey")
-    nodes = read(spark, sf, "part").select(k.alias("id"), F.when(F.floor(k / 2) != k, F.floor(k / 2)).alias("parent"), F.when(k % 7 == 0, k % 4 * 90 - 90).alias("value"))
+    nodes = read(spark, sf, "part").select(k.alias("id"), F.when(k % 100 != 0, k - 1).alias("parent"), F.when(k % 100 == 0, k * 90 % 360 - 90).alias("value"))
     return checks.inherited(nodes).select("id", F.pmod(F.coalesce("value", F.lit(0)), F.lit(360)).cast("int").alias("rotation"))
 
 
