@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+import pytest
+
 from vellumspark.llm import langid
 
 SCHEMA = "lang string, doc_id long, text string, held_out string"
@@ -34,7 +36,7 @@ def probability(levels, gram, uniform):
     return max(0, now.get(gram, 0) - (discount if gram in now else 0)) / sum(same) + discount * len(same) / sum(same) * lower
 
 
-def test_bits_follow_the_recursion():
+def test_bits_follow_the_recursion(spark):
     rng = random.Random(3)
     counts = {lang: Counter() for lang in ("aa", "bb")}
     for lang, letters in (("aa", "abcd"), ("bb", "cdeé")):
@@ -42,7 +44,8 @@ def test_bits_follow_the_recursion():
             word = "   " + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) + " "
             for i in range(len(word) - 3):
                 counts[lang][word[i : i + 4]] += rng.randrange(1, 4)
-    model = langid.build(counts)
+    rows = spark.createDataFrame([(lang, g, n) for lang, by in counts.items() for g, n in by.items()], "lang string, gram string, n long")
+    model = langid.assembled(["aa", "bb"], *langid.probabilities(rows))
     uniform = 1 / (len({c for by in counts.values() for g in by for c in g}) + 1)
     for chunk in ("abc", "dcé", "zz", "abéza", "a"):
         row = model.words([chunk.encode()])[0]
@@ -76,6 +79,52 @@ def test_accuracy_and_odd_rows(spark):
     assert got[901][0].score == 0 and len(got[904]) == 2 and got[904][0].lang_pred != "und"
 
 
+def bits_of(text, levels, uniform, memory):
+    """Bits of all letters of a text and word ends, and how many, by the recursion."""
+    total = n = 0
+    for chunk in text.encode().split():
+        for run in langid.pieces(chunk.decode()):
+            padded = "   " + run + " "
+            for i in range(len(run) + 1):
+                g = padded[i : i + 4]
+                if g not in memory:
+                    memory[g] = -np.log2(probability(levels, g, uniform))
+                total, n = total + memory[g], n + 1
+    return total, n
+
+
+@pytest.mark.parametrize("cells", [langid.CELLS, 1])
+def test_the_whole_query_by_the_recursion(spark, monkeypatch, cells):
+    """Choices and cross-entropies of plain recursions over counts of plain loops."""
+    monkeypatch.setattr(langid.train, "__defaults__", (cells,))
+    rng = random.Random(11)
+    letters = {"xx": "aeilmn", "yy": "eikrtsö", "zz": "aoszćł"}
+    rows = [(lang, k, words(rng, letters[lang], 12), "h") for k, lang in enumerate(["xx", "yy", "zz"] * 20)]
+    rows += [("xx", 100, "漢字" * 200 + " " + words(rng, "aeil", 5), "h"), (None, 101, "", "h"), ("yy", 102, "字漢" * 90, "h")]
+    counts = {lang: Counter() for lang in letters}
+    for lang, k, text, _ in rows:
+        if lang and zlib.crc32(str(k).encode()) % 4 != 2:
+            for run in langid.pieces(text):
+                padded = "   " + run + " "
+                counts[lang].update(padded[i : i + 4] for i in range(len(run) + 1))
+    uniform = 1 / (len({c for by in counts.values() for g in by for c in g}) + 1)
+    levels = {lang: slow(by, "") for lang, by in counts.items()}
+    memory = {lang: {} for lang in counts}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    models = langid.train(docs.where(~langid.held_out(docs["doc_id"])))
+    assert [m.langs for m in models] == ([["xx"], ["yy"], ["zz"]] if cells == 1 else [["xx", "yy", "zz"]])
+    found = {r.doc_id: r for r in langid.entropies(docs, models).collect()}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    for _, k, text, _ in rows:
+        want = sorted((bits_of(text, levels[lang], uniform, memory[lang])[0], lang) for lang in counts)
+        n = bits_of(text, levels["xx"], uniform, memory["xx"])[1]
+        if not n:
+            assert found[k].pred is None and got[k] == "und"
+            continue
+        assert found[k].pred == got[k] == want[0][1] and found[k].chars == n
+        assert found[k].best == pytest.approx(want[0][0] / n) and found[k].second == pytest.approx(want[1][0] / n)
+
+
 def test_held_out_documents_teach_nothing(spark):
     rng = random.Random(9)
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]

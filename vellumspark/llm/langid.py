@@ -2,14 +2,16 @@
 
 One model a language over letters of words, order 4, boundaries included. All counts
 come from all learning documents: workers count words, Spark adds them up, and n-grams
-are counted from distinct words. A model is sorted arrays of 64-bit n-gram hashes with
-a row of log probabilities per language. A text goes to the language of least
+are counted from distinct words; discounts, continuation counts and probabilities are
+joins and sums of those tables. A model is sorted arrays of 64-bit n-gram hashes with
+a row of log probabilities per language; many languages are several models. A text goes to the language of least
 cross-entropy per letter. Rejection and the score are calibrated on the learning
 documents' own cross-entropies.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -17,16 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept
 
 ORDER = 4
-#: Longest run of letters scored as one word; longer runs are cut.
-RUN = 32
-#: Distinct words that a counting or scoring worker holds.
-HELD = 200_000
+#: Distinct words that a counting or scoring worker holds, and bytes of new ones that it
+#: gathers; longer words are scored each time.
+HELD, HELD_BYTES, LONGEST = 200_000, 16 << 20, 64
+#: n-grams times languages of a model that is sent to all tasks (8 bytes each, about).
+CELLS = 16_000_000
 #: Of learning documents, the share whose best cross-entropy is above the rejection bound.
 REJECTED = 0.001
 SHARPNESS = (4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
@@ -37,11 +41,11 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pieces(chunk: str) -> list[str]:
-    """Lower-case runs of letters, at most RUN long."""
+    """Lower-case runs of letters."""
     runs = LETTERS.findall(chunk.lower())
     if not all(map(str.isalpha, runs)):  # signs like ½ count as word characters
         runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
-    return [run[i : i + RUN] for run in runs for i in range(0, len(run), RUN)]
+    return runs
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,17 +68,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
             seen.clear()
             return pa.record_batch([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], names=["lang", "word", "n"])
 
+        held = 0
         for b in it:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
                 data = text.as_py()
-                for at in range(0, len(data), 8 << 20) if len(data) > 8 << 20 else ():
-                    if sum(map(len, seen.values())) > HELD:
+                for at in range(0, len(data), 8 << 20):
+                    seen[lang].update(_cut(data, at, 8 << 20) if len(data) > 8 << 20 else data.split())
+                    held += min(len(data), 8 << 20)
+                    if held > HELD_BYTES and sum(len(w) for by in seen.values() for w in by) > HELD_BYTES // 4 or sum(map(len, seen.values())) > HELD:
                         yield out()
-                    seen[lang].update(_cut(data, at, 8 << 20))
-                if len(data) <= 8 << 20:
-                    seen[lang].update(data.split())
-            if sum(map(len, seen.values())) > HELD:
-                yield out()
+                        held = 0
         yield out()
 
     rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -179,73 +182,102 @@ class Model:
         return result
 
 
-def build(counts: dict[str, dict[str, int]]) -> Model:
-    """Interpolated Kneser-Ney from counts of the highest order."""
-    langs = sorted(counts)
-    alphabet = {c for by in counts.values() for g in by for c in g}
-    uniform = 1 / (len(alphabet) + 1)
-    grams: list[dict[str, dict[int, float]]] = [defaultdict(dict) for _ in range(ORDER)]
-    weights: list[dict[str, dict[int, float]]] = [defaultdict(dict) for _ in range(ORDER)]
-    for which, lang in enumerate(langs):
-        now: dict[str, int] = dict(counts[lang])
-        for size in range(ORDER, 0, -1):
-            ones, twos = sum(n == 1 for n in now.values()), sum(n == 2 for n in now.values())
-            discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-            total, types = Counter(), Counter()
-            for g, n in now.items():
-                total[g[:-1]] += n
-                types[g[:-1]] += 1
-            for g, n in now.items():
-                grams[size - 1][g][which] = (n - discount) / total[g[:-1]]
-            for c, n in types.items():
-                weights[size - 1][c][which] = discount * n / total[c]
-            below: Counter = Counter()
-            for g in now:
-                below[g[1:]] += 1
-            now = below
-    empty = np.array([weights[0].get("", {}).get(i, 1.0) for i in range(len(langs))])
-    dense: list[dict[str, np.ndarray]] = []
+def probabilities(grams: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(lang, gram, n) of the highest order -> (lang, size, gram, p), every n-gram's
+    interpolated Kneser-Ney probability; (lang, size, context, w), weights of backing off
+    from contexts of ``size`` characters (0: from none); and that of a character of none.
+
+    Discounts, totals and continuation counts are those of the whole tables.
+    """
+    counts = {ORDER: grams.select("lang", "gram", "n")}
+    for size in range(ORDER - 1, 0, -1):
+        counts[size] = kept(counts[size + 1].groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")), "counts")
+    uniform = 1 / (counts[1].select("gram").distinct().count() + 1)
+    lower, found, weights = None, [], []
+    for size in range(1, ORDER + 1):
+        now = counts[size].withColumn("context", F.substring("gram", 1, size - 1))
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = now.groupBy("lang").agg(F.when(ones + twos > 0, F.least(F.lit(0.9), F.greatest(F.lit(0.1), ones / (ones + 2 * twos)))).otherwise(0.5).alias("d"))
+        same = now.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+        weight = kept(same.join(discount, "lang").select("lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("w")), "weights")
+        weights.append(weight.select("lang", F.lit(size - 1).alias("size"), "context", "w"))
+        rows = now.join(weight, ["lang", "context"])
+        own = (F.col("n") - F.col("d")) / F.col("total")
+        if lower is None:
+            rows = rows.select("lang", "gram", (own + F.col("w") * uniform).alias("p"))
+        else:
+            below = lower.select("lang", F.col("gram").alias("_rest"), F.col("p").alias("_p"))
+            rows = rows.withColumn("_rest", F.substring("gram", 2, size)).join(below, ["lang", "_rest"]).select("lang", "gram", (own + F.col("w") * F.col("_p")).alias("p"))
+        lower = kept(rows, "probabilities")
+        found.append(lower.select("lang", F.lit(size).alias("size"), "gram", "p"))
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return union(found), union(weights), uniform
+
+
+def _runs(texts: list[str], size: int) -> np.ndarray:
+    """Codes of texts of ``size`` characters, a row each."""
+    return _codes("".join(texts)).reshape(len(texts), size)
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes), np.uint64)
+    for k in range(codes.shape[1]):
+        out = (out + codes[:, k].astype(np.uint64) + np.uint64(1)) * MULTIPLIER
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _rows(texts: list[str], langs: np.ndarray, values: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct texts, their codes, and values by language, NaN
+    where a language has none."""
+    codes = _runs(texts, size)
+    keys, first, at = np.unique(_hashed(codes), return_index=True, return_inverse=True)
+    out = np.full((len(keys), width), np.nan)
+    out[at, langs] = values
+    return keys, codes[first], out
+
+
+def assembled(langs: list[str], grams: DataFrame, weights: DataFrame, uniform: float) -> Model:
+    """The model of some languages from probabilities(); n-grams that a language lacks
+    but another has get what backing off gives them."""
+    number, width = {x: i for i, x in enumerate(langs)}, len(langs)
+
+    def read(df: DataFrame, size: int, text: str, value: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        got = df.where((F.col("size") == size) & F.col("lang").isin(langs)).select("lang", text, value).toArrow()
+        return got.column(1).to_pylist(), np.array([number[x] for x in got.column(0).to_pylist()], np.int64), -np.log2(got.column(2).to_numpy())
+
+    _, which, empty = read(weights, 0, "context", "w")
+    unknown = np.zeros(width)
+    unknown[which] = empty
+    unknown -= np.log2(uniform)
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
+    backoff: list[tuple[np.ndarray, np.ndarray]] = []
     for size in range(1, ORDER + 1):
-        rows = {}
-        for g, own in grams[size - 1].items():
-            p = np.zeros(len(langs))
-            for i, x in own.items():
-                p[i] = x
-            if size == 1:
-                rows[g] = p + empty * uniform
-            else:
-                w = np.ones(len(langs))
-                for i, x in weights[size - 1][g[:-1]].items():
-                    w[i] = x
-                lower = dense[-1].get(g[1:])
-                rows[g] = p + w * (lower if lower is not None else _lower(g[1:], dense, weights, empty * uniform))
-        dense.append(rows)
-
-    def table(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if not rows:
-            return np.zeros(0, np.uint64), np.zeros((0, len(langs)))
-        keys = np.array([hashes(_codes(g), len(g))[0] for g in rows])
-        order = np.argsort(keys)
-        return keys[order], -np.log2(np.array(list(rows.values())))[order]
-
-    def weight_rows(by: dict[str, dict[int, float]]) -> dict[str, np.ndarray]:
-        return {c: np.array([own.get(i, 1.0) for i in range(len(langs))]) for c, own in by.items()}
-
-    return Model(langs, [table(r) for r in dense], [table(weight_rows(weights[k])) for k in range(1, ORDER)], -np.log2(empty * uniform))
-
-
-def _lower(gram: str, dense: list, weights: list, floor: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of a gram that no language has."""
-    if not gram:
-        return floor
-    size = len(gram)
-    if gram in dense[size - 1]:
-        return dense[size - 1][gram]
-    if size == 1:
-        return floor
-    own = weights[size - 1].get(gram[:-1], {})
-    w = np.array([own.get(i, 1.0) for i in range(len(floor))])
-    return w * _lower(gram[1:], dense, weights, floor)
+        keys, codes, bits = _rows(*read(grams, size, "gram", "p"), size, width)
+        if size == 1:
+            rest = np.broadcast_to(unknown, bits.shape)
+        else:
+            at, _, own = _rows(*read(weights, size - 1, "context", "w"), size - 1, width)
+            backoff.append((at, np.nan_to_num(own)))
+            below, rows = tables[-1]
+            rest = backoff[-1][1][np.searchsorted(at, _hashed(codes[:, :-1]))] + rows[np.searchsorted(below, _hashed(codes[:, 1:]))]
+        tables.append((keys, np.where(np.isnan(bits), rest, bits)))
+    return Model(langs, tables, backoff, unknown)
+
+
+def slices(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Languages by name, dealt so that a slice's n-grams times languages are at most
+    ``most``; a language over it is a slice of its own."""
+    out: list[list[str]] = []
+    held = 0
+    for lang in sorted(sizes):
+        if out and (held + sizes[lang]) * (len(out[-1]) + 1) <= most:
+            out[-1].append(lang)
+            held += sizes[lang]
+        else:
+            out.append([lang])
+            held = sizes[lang]
+    return out
 
 
 class Scorer(dict):
@@ -255,7 +287,7 @@ class Scorer(dict):
         self.model, self.rows, self.used = model, np.zeros((1024, len(model.langs) + 1)), 0
 
     def learn(self, chunks: set[bytes]) -> None:
-        fresh = [c for c in chunks if c not in self]
+        fresh = [c for c in chunks if c not in self]  # of LONGEST bytes at most
         if len(self) + len(fresh) > HELD and len(self):
             self.clear()
             self.used, fresh = 0, list(chunks)
@@ -273,46 +305,67 @@ class Scorer(dict):
         total = np.zeros(len(self.model.langs) + 1)
         for at in range(0, len(text or b""), 8 << 20):
             words = _cut(text, at, 8 << 20) if len(text) > 8 << 20 else text.split()
-            self.learn(set(words))
+            kinds = set(words)
+            if max(map(len, kinds), default=0) > LONGEST:
+                for word in words:
+                    if len(word) > LONGEST:
+                        total += self.model.words([word])[0]
+                words = [w for w in words if len(w) <= LONGEST]
+                kinds = set(words)
+            self.learn(kinds)
             if words:
                 total += self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(axis=0)
         return total
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of every non-null lang of ``docs``, from all its rows and n-grams."""
+def train(docs: DataFrame, most: int = CELLS) -> list[Model]:
+    """Models of every non-null lang of ``docs``, from all its rows and n-grams; several
+    languages a model, a model of ``most`` n-grams times languages at most."""
     grams = kept(gram_counts(word_counts(docs)), "grams")
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in grams.toLocalIterator():
-        counts[r.lang][r.gram] = r.n
-    return build(counts)
+    sizes = {r.lang: r.n for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not sizes:
+        return []
+    found, weights, uniform = probabilities(grams)
+    return [assembled(langs, found, weights, uniform) for langs in slices(sizes, most)]
 
 
-def entropies(docs: DataFrame, model: Model) -> DataFrame:
+def entropies(docs: DataFrame, models: list[Model]) -> DataFrame:
     """(doc_id, held_out, lang, pred, best, second, chars): cross-entropies in bits per
-    character of the best two languages; pred is null without letters."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    character of the best two languages; pred is null without letters. Texts pass every
+    model once, and are stored between two models."""
+    ask = "doc_id long, held_out boolean, lang string, pred string, best double, second double, chars long"
+    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("lang").cast("string"), F.lit(None).cast("string").alias("pred"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("double").alias("second"), F.lit(0).cast("long").alias("chars"), F.col("text").cast("string"))
+    for k, model in enumerate(models):
+        last = k == len(models) - 1
+        rows = rows.mapInArrow(_passing(docs.sparkSession.sparkContext.broadcast(model), last), ask + ("" if last else ", text string"))
+        rows = rows if last else kept(rows, "texts")
+    return rows
+
+
+def _passing(shared: Broadcast, last: bool):
+    names = ["doc_id", "held_out", "lang", "pred", "best", "second", "chars", "text"][: 7 if last else 8]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in it:
             rows = []
-            for text in b.column(3).cast(pa.large_binary()):
+            earlier = zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
+            for text, (pred, best, second) in zip(b.column(7).cast(pa.large_binary()), earlier, strict=True):
                 sums = scorer.score(text.as_py())
                 n = int(sums[-1])
-                if not n or not len(sums) - 1:
-                    rows.append((None, None, None, n))
-                    continue
-                h = sums[:-1] / n
-                k = int(np.argmin(h))
-                second = float(np.min(np.delete(h, k))) if len(h) > 1 else None
-                rows.append((scorer.model.langs[k], float(h[k]), second, n))
+                if n:
+                    h = sums[:-1] / n
+                    k = int(np.argmin(h))
+                    values = sorted([*h.tolist(), *(x for x in (best, second) if x is not None)])
+                    if best is None or h[k] < best:
+                        pred, best = scorer.model.langs[k], float(h[k])
+                    second = values[1] if len(values) > 1 else None
+                rows.append((pred, best, second, n))
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.record_batch([*b.columns[:3], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())], names=["doc_id", "held_out", "lang", "pred", "best", "second", "chars"])
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.record_batch([*b.columns[:3], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *([] if last else [b.column(7)])], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(batches, "doc_id long, held_out boolean, lang string, pred string, best double, second double, chars long")
+    return batches
 
 
 def _confidence(sharpness: float) -> Column:
@@ -331,10 +384,10 @@ def identify(docs: DataFrame) -> DataFrame:
     is halved. Rows with a null doc_id are not held out; repeated rows count each; other
     columns are not read.
     """
-    model = train(docs.where(~held_out(F.col("doc_id"))))
-    if not model.langs:
+    models = train(docs.where(~held_out(F.col("doc_id"))))
+    if not models:
         return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
-    found = kept(entropies(docs, model), "entropies")
+    found = kept(entropies(docs, models), "entropies")
     learned = found.where("NOT held_out AND lang IS NOT NULL AND pred IS NOT NULL")
     right = F.col("lang") == F.col("pred")
     loss = [F.sum(-F.log(F.greatest(F.when(right, _confidence(s)).otherwise(1 - _confidence(s)), F.lit(1e-9)))).alias(f"l{i}") for i, s in enumerate(SHARPNESS)]
