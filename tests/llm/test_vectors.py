@@ -94,3 +94,25 @@ def test_few_and_none(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(frame(spark, rows)).collect()) == [(0, 1, 1), (0, 2, 2)]
     assert ann.search(frame(spark, [])).collect() == []
     assert embed_dedup.duplicates(frame(spark, [])).collect() == []
+
+
+def test_outliers_find_their_nearest(spark, monkeypatch):
+    """All queries lie far from everything else; one list's queries meet in several groups."""
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "CELLS", 2000)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 8))
+    far = rng.normal(size=(30, 8))
+    x[::100] = 12 * far / np.linalg.norm(far, axis=1, keepdims=True)
+    rows = list(enumerate(x.tolist()))
+    got = ann.search(frame(spark, rows)).collect()
+    want = brute_nearest(rows, 100)
+    assert len(got) == len(want)
+    assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
+
+
+def test_lists_of_few_vectors_are_not_enough(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, (rng.normal(size=4) * 1e-3 + (50 * (i % 40) if i % 3 else 0)).tolist()) for i in range(400)]
+    got = ann.search(frame(spark, rows)).collect()
+    assert len(got) == len(brute_nearest(rows, 100)) == 40

@@ -2,7 +2,10 @@
 reranking.
 
 Coarse centroids and the codebooks of residuals are learnt from a bounded sample; every
-vector is indexed. A query visits the lists of its nearest centroids. A list is dealt
+vector is indexed. A query visits the lists of its nearest centroids: as many as the
+sample's own nearest rows need, more if these hold too few vectors, and if it lies
+farther from all centroids than the sample does, all within two residuals of the nearest.
+A list is dealt
 into blocks of bounded size, so a crowded list is many tasks; each block ranks its
 vectors for its queries by asymmetric distance tables, reranks the best exactly and
 returns as many as are asked for, so the shares of all blocks hold the best of all.
@@ -21,8 +24,13 @@ from pyspark.sql import functions as F
 from .common import kept
 
 TOP = 10
-#: Vectors that the index is fitted on, at most; lists per square root of the vectors.
+#: Vectors that the index is fitted on, at most, and so lists; lists per square root of
+#: the vectors.
 SAMPLE, LISTS = 16_384, 1.0
+#: Of the sample, the share whose distance from its centroid is usual.
+USUAL = 0.95
+#: Distances that are computed at once, and queries of a list that meet one of its blocks.
+CELLS, QUERIES = 1 << 22, 20_000
 #: Of the sample's true nearest, the share that lies in the lists a query visits; sample
 #: rows that are asked for it; lists that are visited at least.
 REACHED, ASKED, LEAST_PROBES = 0.97, 256, 8
@@ -38,12 +46,23 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position and squared distance of each row's nearest centre."""
+    at, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    step = max(1, CELLS // len(centres))
+    for i in range(0, len(x), step):
+        d = squared(x[i : i + step], centres)
+        at[i : i + step] = d.argmin(axis=1)
+        far[i : i + step] = d[np.arange(len(d)), at[i : i + step]]
+    return at, far
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     """Lloyd's rounds from distinct rows; a centre without rows stays."""
     distinct = np.unique(x, axis=0)
     centres = distinct[np.random.default_rng(seed).permutation(len(distinct))[:k]].copy()
     for _ in range(rounds):
-        own = squared(x, centres).argmin(axis=1)
+        own = nearest(x, centres)[0]
         n = np.bincount(own, minlength=len(centres))
         order = np.argsort(own, kind="stable")
         starts = (np.cumsum(n) - n)[n > 0]
@@ -56,15 +75,16 @@ class Index:
 
     def __init__(self, sample: np.ndarray, total: int):
         self.centroids = kmeans(sample, max(1, int(LISTS * np.sqrt(total))))
-        rest = sample - self.centroids[squared(sample, self.centroids).argmin(axis=1)]
+        own, far = nearest(sample, self.centroids)
+        rest = sample - self.centroids[own]
+        self.usual = float(np.sqrt(np.quantile(far, USUAL))) if len(far) else 0.0
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(rest[:, i:j], CODES, 6) for i, j in zip(self.cuts, self.cuts[1:], strict=False)]
-        self.probes = min(len(self.centroids), max(LEAST_PROBES, self._needed(sample)))
+        self.probes = min(len(self.centroids), max(LEAST_PROBES, self._needed(sample, own)))
 
-    def _needed(self, sample: np.ndarray) -> int:
+    def _needed(self, sample: np.ndarray, own: np.ndarray) -> int:
         """Lists to visit, from the sample's own nearest rows. Of all vectors the nearest
         are nearer still, so that they lie in the first lists rather more often."""
-        own = squared(sample, self.centroids).argmin(axis=1)
         ask = sample[np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int)]
         near = np.argsort(squared(ask, sample), axis=1, kind="stable")[:, 1 : TOP + 1]
         place = np.argsort(np.argsort(squared(ask, self.centroids), axis=1, kind="stable"), axis=1)
@@ -72,14 +92,21 @@ class Index:
         return int(ranks[int(np.ceil(REACHED * len(ranks))) - 1]) + 1 if len(ranks) else 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = squared(x, self.centroids).argmin(axis=1)
+        cell = nearest(x, self.centroids)[0]
         rest = x - self.centroids[cell]
-        code = [squared(rest[:, i:j], book).argmin(axis=1) for i, j, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
+        code = [nearest(rest[:, i:j], book)[0] for i, j, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
         return cell, np.stack(code, axis=1).astype(np.uint8)
 
-    def visits(self, q: np.ndarray) -> np.ndarray:
-        d = squared(q, self.centroids)
-        return np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes]
+    def visits(self, q: np.ndarray, sizes: np.ndarray, enough: int) -> list[np.ndarray]:
+        """Each query's lists, which hold ``enough`` vectors if all do; ``sizes`` are the
+        lists'."""
+        d = np.sqrt(squared(q, self.centroids))
+        order = np.argsort(d, axis=1, kind="stable")
+        d = np.take_along_axis(d, order, axis=1)
+        held = (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1) + 1
+        near = np.where(d[:, 0] > self.usual, (d <= d[:, :1] + 2 * self.usual).sum(axis=1), 0)
+        most = np.maximum(self.probes, np.maximum(held, near))
+        return [row[:k][sizes[row[:k]] > 0] for row, k in zip(order, most.tolist(), strict=True)]
 
     def estimates(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to coded vectors of a list: table lookups."""
@@ -119,8 +146,6 @@ def _dimension(rows: DataFrame, total: int, every: int, top: int) -> DataFrame:
     spark = rows.sparkSession
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toLocalIterator()])
     index = Index(sample, total)
-    if total <= 4 * top:  # the lists that are not visited may hold what is asked for
-        index.probes = len(index.centroids)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,22 +156,27 @@ def _dimension(rows: DataFrame, total: int, every: int, top: int) -> DataFrame:
                 yield pa.record_batch([b.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "cell", "code", "x"])
 
     coded = kept(rows.mapInArrow(encode, "vec_id long, cell int, code binary, x binary"), "coded")
-    sizes = {r.cell: r.k for r in coded.groupBy("cell").agg(F.count("*").alias("k")).collect()}  # one row a list
-    parts = {c: -(-k // BLOCK) for c, k in sizes.items()}
-    of = F.create_map(*[F.lit(v) for c in parts for v in (c, parts[c])])
-    dealt = coded.withColumn("part", F.pmod(F.xxhash64("vec_id"), of[F.col("cell")]).cast("int"))
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in coded.groupBy("cell").agg(F.count("*").alias("k")).collect():  # one row a list
+        sizes[r.cell] = r.k
+    parts = -(-sizes // BLOCK)
+    lists = F.broadcast(spark.createDataFrame([(i, k) for i, k in enumerate(parts.tolist()) if k], "cell int, parts int"))  # SAMPLE rows at most
+    dealt = coded.join(lists, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
     def visit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(1024, CELLS // len(sizes)))
         for b in it:
             if b.num_rows:
                 x = np.array(b.column("v").flatten()).reshape(b.num_rows, -1)
-                for at in range(0, len(x), 1024):
-                    seen = [(i, c, part) for i, cells in enumerate(shared.value.visits(x[at : at + 1024]).tolist(), at) for c in cells for part in range(parts.get(c, 0))]
-                    if seen:
-                        which, cell, part = zip(*seen, strict=True)
-                        yield pa.record_batch([b.column("vec_id").take(pa.array(which)), pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array([x[i].tobytes() for i in which], pa.binary())], names=["query_id", "cell", "part", "q"])
+                for at in range(0, len(x), step):
+                    seen = [(i, c, part) for i, cells in enumerate(shared.value.visits(x[at : at + step], sizes, 4 * top), at) for c in cells.tolist() for part in range(parts[c])]
+                    which, cell, part = zip(*seen, strict=True)
+                    yield pa.record_batch([b.column("vec_id").take(pa.array(which)), pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array([x[i].tobytes() for i in which], pa.binary())], names=["query_id", "cell", "part", "q"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(visit, "query_id long, cell int, part int, q binary")
+    asked = kept(rows.where(F.col("vec_id") % every == 0).mapInArrow(visit, "query_id long, cell int, part int, q binary"), "asked")
+    slots = asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slots"))
+    asked = asked.join(slots, ["cell", "part"]).withColumn("slot", F.pmod(F.xxhash64("query_id"), F.col("slots")).cast("int"))
+    dealt = dealt.join(slots, ["cell", "part"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
 
     def rank(key: tuple, block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(ask):
@@ -168,5 +198,7 @@ def _dimension(rows: DataFrame, total: int, every: int, top: int) -> DataFrame:
         q, v, d = (np.concatenate(c) for c in zip(*got, strict=True))
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": d})
 
-    found = dealt.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    by = ["cell", "part", "slot"]
+    dealt, asked = dealt.select(*by, "vec_id", "code", "x"), asked.select(*by, "query_id", "q")
+    found = dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(rank, "query_id long, vec_id long, score double")
     return kept(found, "found")
