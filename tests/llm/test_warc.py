@@ -16,8 +16,10 @@ def run(spark, rows, **how):
     return listed, warc.read(listed).collect()
 
 
-@pytest.mark.parametrize("least", [0, 3])
-def test_round_trip(spark, least):
+@pytest.mark.parametrize(("least", "far"), [(0, False), (3, False), (0, True)])
+def test_round_trip(spark, monkeypatch, least, far):
+    if far:
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
     rows = [(i, f"http://a/{i} b\r\nx", f"<p>{i % 7}</p>" * (i % 5)) for i in range(60)]
     rows += [(100, None, None), (101, "u", ""), (102, "u", "é" * 400_000), (103, "u", "é" * 400_000), (104, "", "ab"), (105, "", "ab"), (None, "u", "<p>1</p>"), (None, "u", "own")]
     rows += [(106, "u", "own twice"), (106, "u", "own twice")]

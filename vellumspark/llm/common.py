@@ -32,10 +32,13 @@ def visible(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is absent (local tests) a folder of this machine is set.
+    Where the setting is absent a folder of this machine is set in local mode; on a
+    cluster that is an error, as no executor could read another's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

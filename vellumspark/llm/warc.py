@@ -153,10 +153,13 @@ def revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
     shared = kept(rows.where(F.col("size") >= min_payload).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n"), "payloads")
+    again = F.col("page_id").eqNullSafe(F.col("first"))
     if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    return rows.join(shared, ["sha", "size"], "left").select("page_id", "url", "payload", "sha", "size", refers.alias("refers_to"))
+        named = rows.join(F.broadcast(shared), ["sha", "size"], "left")
+    else:  # only ids meet on the payload's digest, whose rows may be many; payloads go by page
+        ids = rows.select("page_id", "sha", "size").join(shared, ["sha", "size"]).where(~again).select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "first").distinct()
+        named = rows.join(ids, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
+    return named.select("page_id", "url", "payload", "sha", "size", F.when(~again, F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str | None = None, min_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
