@@ -352,3 +352,19 @@ def test_inflating_is_bounded():
     assert model.inflated(b"plain", 5, 5, 1, 8) == b"plain"
     with pytest.raises(ValueError):
         model.inflated(zlib.compress(b"x" * 101), 5, 5, 1, 8)
+
+
+def test_domains_of_odd_values(spark):
+    from vellumspark.operators import domains as D
+
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(nan,), (inf,), (-1.0,), (0.0,), (None,)], "x double")
+    assert [r[0] is None for r in df.select(D.finite(F.col("x"))).collect()] == [False, False, False, True, False]
+    assert [r[0] for r in df.select(D.margin(F.col("x"))).collect()] == [inf, inf, inf, 0.0, inf]
+    bad = df.select(D.calibration(F.col("x"), F.lit(0.5), F.lit(1.9), F.lit(1)).alias("a"), D.calibration(F.lit(1.0), F.col("x"), F.lit(0.0), F.lit(0)).alias("b")).collect()
+    assert all(r.a == ["alpha"] for r in bad) and all(r.b[0] == "p0" and r.b[-1] == "cadence" for r in bad)
+    rows = spark.createDataFrame([("s", nan, nan), ("s", 0.0, -0.0), ("t", 1.0, 1.0)], "shape string, a double, b double")
+    assert {r["shape"]: (r.mismatches, r.passed) for r in D.battery(rows, "shape", "a", "b").collect()} == {"s": (1, False), "t": (0, True)}
+    assert one(spark, D.last_json(F.col("t")), t='x\n{"a": 1}\n{"a": 2}\n{broken\n') == '{"a": 2}'
+    cut = one(spark, D.compact(F.col("t")), t="  " + "é" * 300 + " ")
+    assert cut == "é" * 256 + "..." and one(spark, D.compact(F.col("t")), t="a" + "é" * 300) == "a" + "é" * 255 + "..."

@@ -331,7 +331,10 @@ def j19_spread(spark, sf):
     return out.withColumn("spread", F.round("spread", 9))
 
 
-@query("SELECT a.doc_id, sha256(a.text) = sha256(b.text) AS same FROM documents a JOIN documents b ON a.doc_id = b.doc_id WHERE a.text IS NOT NULL")
+@query("SELECT a.doc_id, sha256(a.text) = sha256(b.t) AS same FROM documents a JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' ' ELSE text END AS t FROM documents) b ON a.doc_id = b.doc_id WHERE a.text IS NOT NULL")
 def j18_determinism(spark, sf):
-    runs = [read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias(n)) for n in "ab"]
+    """Two runs of which the second differs in a seventh of the documents."""
+    docs = read(spark, sf, "documents").where("text IS NOT NULL")
+    again = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    runs = [d.select("doc_id", F.sha2("text", 256).alias(n)) for d, n in ((docs, "a"), (again, "b"))]
     return runs[0].join(runs[1], "doc_id").select("doc_id", (F.col("a") == F.col("b")).alias("same"))
