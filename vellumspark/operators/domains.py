@@ -117,3 +117,42 @@ def with_first(rows: DataFrame, by: str, order: str, value: str, sentinel: objec
     """(by, order, value) with a sentinel row of order -1 before each group."""
     first = rows.select(by).distinct().select(by, F.lit(-1).cast(dict(rows.dtypes)[order]).alias(order), F.lit(sentinel).cast(dict(rows.dtypes)[value]).alias(value))
     return rows.select(by, order, value).unionByName(first)
+
+
+def found_from(text: Column, needle: str, start: Column) -> Column:
+    """0-based byte of the first ``needle`` in UTF-8 text at byte ``start`` or later; null
+    if there is none, the needle is empty or the start lies beyond the text."""
+    if not needle:
+        return F.lit(None).cast("int")
+    flat = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    at = F.locate(needle.encode().decode("latin-1"), F.substr(flat, start + 1))
+    return F.when((start <= F.octet_length(text)) & (at > 0), start + at - 1).cast("int")
+
+
+#: One character of each class (names are fixed values).
+CLASSES = {"ident_start": "[A-Za-z_]", "ident_continue": "[_\\-\\p{IsAlphabetic}\\p{N}]", "letter": "\\p{L}", "mark": "\\p{M}", "number": "\\p{N}", "punctuation": "\\p{P}", "symbol": "\\p{S}", "space": "\\p{IsWhite_Space}"}
+
+
+def is_class(char: Column, name: str) -> Column:
+    """Whether a text of one character is of a class of CLASSES."""
+    return char.rlike(f"^{CLASSES[name]}\\z")
+
+
+def hex_digest(content: Column) -> Column:
+    """SHA-256 of bytes or text in lower-case hexadecimal digits."""
+    return F.lower(F.hex(F.unhex(F.sha2(content, 256))))
+
+
+def prompt(prefix: list[int], pad: int, count: Column, suffix: list[int]) -> Column:
+    """Ids of a prompt with ``count`` pads where the image goes."""
+    return F.concat(F.array(*map(F.lit, prefix)), F.array_repeat(F.lit(pad), count.cast("int")), F.array(*map(F.lit, suffix)))
+
+
+def allowed(options: DataFrame, pins: DataFrame, floors: DataFrame, bits: dict[str, int]) -> DataFrame:
+    """(name, option) that a tensor may take: the pinned one, else those of its floor's
+    bits at least. ``pins`` (name, pin) and ``floors`` (name, floor) have a row a tensor
+    at most; a pin that the tensor does not offer, or a floor above all, leaves none."""
+    width = F.create_map(*[F.lit(x) for kv in bits.items() for x in kv])
+    rows = options.select("name", "option").distinct().join(pins, "name", "left").join(floors, "name", "left")
+    enough = F.col("floor").isNull() | (width[F.col("option")] >= width[F.col("floor")])
+    return rows.where(F.when(F.col("pin").isNotNull(), F.col("option") == F.col("pin")).otherwise(enough)).select("name", "option")

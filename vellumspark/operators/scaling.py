@@ -38,15 +38,24 @@ def goodness(points: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, "a", "b", F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot")).otherwise(1.0).alias("r2"), F.sqrt(F.col("res") / F.col("k")).alias("rmse"))
 
 
+def peak(a: Column, b: Column) -> Column:
+    """Where the law is greatest: without bound if nothing holds it back."""
+    return F.when(b <= 0, float("inf")).when(a >= 1, 1.0).otherwise(F.sqrt((1 - a) / b))
+
+
+def integer_peak(a: Column, b: Column, real: Column, cpus: int) -> Column:
+    """The better of the whole numbers around the peak, between 1 and ``cpus``; of equals
+    the smaller."""
+    near = F.array(*[F.greatest(F.lit(1.0), F.least(F.lit(float(cpus)), f(F.least(real, F.lit(float(cpus)))))) for f in (F.floor, F.ceil)])
+    return F.array_sort(F.transform(near, lambda n: F.struct((-law(n, a, b)).alias("s"), n.alias("n"))))[0]["n"]
+
+
 def decide(quality: DataFrame, by: list[str], cpus: int, cores: int) -> DataFrame:
     """The pool size of each group: the law's integer peak, clamped to ``cpus``, or the
     physical cores where the fit is poor or missing."""
     a, b = F.col("a"), F.col("b")
-    real = F.when(b <= 0, float("inf")).when(a >= 1, 1.0).otherwise(F.sqrt((1 - a) / b))
-    cand = F.array(*[F.greatest(F.lit(1.0), F.least(F.lit(float(cpus)), f(F.least(F.col("peak"), F.lit(float(cpus)))))) for f in (F.floor, F.ceil)])
-    best = F.array_sort(F.transform(cand, lambda n: F.struct((-law(n, a, b)).alias("s"), n.alias("n"))))[0]["n"]
     poor = a.isNull() | b.isNull() | F.isnan("r2") | (F.col("r2") < MIN_R2)
-    rows = quality.withColumn("peak", real).withColumn("peak_n", best).withColumn("fallback", poor)
+    rows = quality.withColumn("peak", peak(a, b)).withColumn("peak_n", integer_peak(a, b, F.col("peak"), cpus)).withColumn("fallback", poor)
     top, all_ = law(F.col("peak_n"), a, b), law(F.lit(float(cpus)), a, b)
     return rows.select(
         *by, F.round("a", 4).alias("alpha"), F.round("b", 6).alias("beta"), F.round("r2", 4).alias("r2"), F.round("rmse", 4).alias("rmse"), "fallback",

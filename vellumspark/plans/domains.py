@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumspark.operators import domains as D
+from vellumspark.operators import grid, scaling, scheduling
+from vellumspark.operators import sequences as S
 
 from .base import query, read
 
@@ -88,3 +90,82 @@ def x30_compact(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, -1, 0 FROM lineitem")
 def t14_sentinel_rows(spark, sf):
     return D.with_first(read(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", 0)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 128 WHEN p_partkey % 5 = 1 THEN CASE WHEN p_size * 9 > 256 THEN 256 WHEN p_size = 0 THEN 128 ELSE p_size * 9 END ELSE 128 END::BIGINT AS size FROM part")
+def t05_batch_sizes(spark, sf):
+    k = F.col("p_partkey") % 5
+    said = F.when(k == 0, "0").when(k == 1, F.concat(F.lit(" "), (F.col("p_size") * 9).cast("string"))).when(k == 2, " ").when(k == 3, "-7")
+    return read(spark, sf, "part").select("p_partkey", scheduling.batch_sizes(said).cast("long").alias("size"))
+
+
+@query("SELECT p_partkey, ceil((p_partkey // 16) / 4.0)::BIGINT AS queries FROM part")
+def f07_queries(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", grid.queries_of(F.col("p_partkey")).cast("long").alias("queries"))
+
+
+@query("SELECT doc_id, lower(hex(unhex(sha256(text)))) AS h, strlen(text)::INTEGER AS n FROM documents")
+def x25_lower_hex(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", D.hex_digest(F.col("text")).alias("h"), F.octet_length("text").alias("n"))
+
+
+@query("SELECT page_id, sha256(html) AS h, sha256(html) = CASE WHEN page_id % 4 = 0 THEN sha256(html || ' ') ELSE sha256(html) END AS same FROM pages")
+def a42_blob_digests(spark, sf):
+    """Digests of pages against a list that is wrong for a fourth of them."""
+    pages = read(spark, sf, "pages")
+    said = F.when(F.col("page_id") % 4 == 0, D.hex_digest(F.concat("html", F.lit(" ")))).otherwise(D.hex_digest(F.col("html")))
+    return pages.select("page_id", D.hex_digest(F.col("html")).alias("h"), (D.hex_digest(F.col("html")) == said).alias("same"))
+
+
+@query("SELECT p_partkey, [7, 8] || list_transform(range(p_size), lambda x: 99) || [9] AS ids FROM part")
+def x27_prompts(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", D.prompt([7, 8], 99, F.col("p_size"), [9]).alias("ids"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_partkey % 11 / 10.0::DOUBLE AS a, p_partkey % 7 / 2000.0::DOUBLE AS b FROM part), p AS (SELECT *, least(64, CASE WHEN b <= 0 THEN 1e300 WHEN a >= 1 THEN 1 ELSE sqrt((1 - a) / b) END) AS peak FROM r),
+c AS (SELECT p_partkey, a, b, unnest([greatest(1, floor(peak)), greatest(1, least(64, ceil(peak)))]) AS n FROM p)
+SELECT p_partkey, arg_min(n, -round(n / (1 + a * (n - 1) + b * n * (n - 1)), 12) + n * 1e-14)::INTEGER AS n FROM c GROUP BY p_partkey""")
+def a17_integer_peaks(spark, sf):
+    k = F.col("p_partkey")
+    a, b = k % 11 / 10.0, k % 7 / 2000.0
+    return read(spark, sf, "part").select("p_partkey", scaling.integer_peak(a, b, scaling.peak(a, b), 64).cast("int").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) >= 3 AND position('e' IN b) > 0 THEN position('e' IN b) + 2 END::INTEGER AS at FROM (SELECT doc_id, text, substr(regexp_replace(text, '[^\\x00-\\x7F]', '??', 'g'), 4) AS b FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x{0800}-\\x{10FFFF}]'))")
+def x09_byte_search(spark, sf):
+    """The first e from the fourth byte on, of texts whose characters have two bytes at most."""
+    rows = read(spark, sf, "documents").where("text IS NOT NULL").where(~F.col("text").rlike("[\\x{0800}-\\x{10FFFF}]"))
+    return rows.select("doc_id", D.found_from(F.col("text"), "e", F.lit(3)).alias("at"))
+
+
+@query("""SELECT doc_id, regexp_matches(c, '^[A-Za-z_]$') AS ident_start, regexp_matches(c, '^\p{L}$') AS letter, regexp_matches(c, '^\p{N}$') AS number, regexp_matches(c, '^\p{P}$') AS punctuation, regexp_matches(c, '^\p{S}$') AS symbol
+FROM (SELECT doc_id, substr(text, doc_id % 97 + 1, 1) AS c FROM documents) WHERE c <> '' AND c <> chr(10)""")
+def x15_classes(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", F.substr("text", (F.col("doc_id") % 97 + 1).cast("int"), F.lit(1)).alias("c")).where("c <> '' AND c <> '\n'")
+    return rows.select("doc_id", *[D.is_class(F.col("c"), n).alias(n) for n in ("ident_start", "letter", "number", "punctuation", "symbol")])
+
+
+@query("""WITH o AS (SELECT DISTINCT p_brand AS name, CASE p_size % 4 WHEN 0 THEN 'int4' WHEN 1 THEN 'int8' WHEN 2 THEN 'bf16' ELSE 'f32' END AS option FROM part),
+r AS (SELECT *, CASE WHEN name LIKE '%1' THEN 'bf16' END AS pin, CASE WHEN name LIKE '%2' OR name LIKE '%1' THEN 'int8' END AS floor, CASE option WHEN 'int4' THEN 4 WHEN 'int8' THEN 8 WHEN 'bf16' THEN 16 ELSE 32 END AS bits FROM o)
+SELECT name, option FROM r WHERE CASE WHEN pin IS NOT NULL THEN option = pin WHEN floor IS NOT NULL THEN bits >= 8 ELSE true END""")
+def t07_allowed_options(spark, sf):
+    k = F.col("p_size") % 4
+    rows = read(spark, sf, "part").select(F.col("p_brand").alias("name"), F.when(k == 0, "int4").when(k == 1, "int8").when(k == 2, "bf16").otherwise("f32").alias("option"))
+    names = rows.select("name").distinct()
+    pins = names.where("name LIKE '%1'").select("name", F.lit("bf16").alias("pin"))
+    floors = names.where("name LIKE '%2' OR name LIKE '%1'").select("name", F.lit("int8").alias("floor"))
+    return D.allowed(rows, pins, floors, {"int4": 4, "int8": 8, "bf16": 16, "f32": 32})
+
+
+@query("SELECT o_orderkey, n_nationkey AS id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey")
+def j02_symbol_ids(spark, sf):
+    """Names of nations to ids; a name that the vocabulary lacks is an error."""
+    nation = read(spark, sf, "nation")
+    said = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", F.col("n_name").alias("symbol"))
+    return S.looked_up(said, nation.select(F.col("n_name").alias("symbol"), F.col("n_nationkey").alias("id")), "symbol").select("o_orderkey", "id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey")
+def j09_input_order(spark, sf):
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return scheduling.in_order(rows.repartition("o_totalprice"), "o_orderkey")
