@@ -138,7 +138,7 @@ def x09_byte_search(spark, sf):
     return rows.select("doc_id", D.found_from(F.col("text"), "e", F.lit(3)).alias("at"))
 
 
-@query("""SELECT doc_id, regexp_matches(c, '^[A-Za-z_]$') AS ident_start, regexp_matches(c, '^\p{L}$') AS letter, regexp_matches(c, '^\p{N}$') AS number, regexp_matches(c, '^\p{P}$') AS punctuation, regexp_matches(c, '^\p{S}$') AS symbol
+@query("""SELECT doc_id, regexp_matches(c, '^[A-Za-z_]$') AS ident_start, regexp_matches(c, '^\\p{L}$') AS letter, regexp_matches(c, '^\\p{N}$') AS number, regexp_matches(c, '^\\p{P}$') AS punctuation, regexp_matches(c, '^\\p{S}$') AS symbol
 FROM (SELECT doc_id, substr(text, doc_id % 97 + 1, 1) AS c FROM documents) WHERE c <> '' AND c <> chr(10)""")
 def x15_classes(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", F.substr("text", (F.col("doc_id") % 97 + 1).cast("int"), F.lit(1)).alias("c")).where("c <> '' AND c <> '\n'")
