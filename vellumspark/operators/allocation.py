@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 NO_GAIN = 1e-6
 
 
@@ -48,9 +50,9 @@ def choose(points: DataFrame, tensor: str, price: float) -> DataFrame:
 
 def waterfill(points: DataFrame, budget: float, tensor: str = "tensor", steps: int = 60) -> DataFrame:
     """(tensor, rate, distortion) under a budget of total rate: the price is halved in on by
-    aggregates over hull points; nothing but totals comes to the driver. A budget below
+    aggregates over hull points, which are settled once; nothing but totals comes to the driver. A budget below
     the cheapest allocation is an error."""
-    h = hull(points, tensor).select(tensor, F.explode("hull").alias("p")).select(tensor, F.col("p.r").alias("rate"), F.col("p.d").alias("distortion"))
+    h = settled(hull(points, tensor).select(tensor, F.explode("hull").alias("p")).select(tensor, F.col("p.r").alias("rate"), F.col("p.d").alias("distortion")))
 
     def spent(price: float) -> float:
         return choose(h, tensor, price).agg(F.sum("rate")).first()[0] or 0.0
