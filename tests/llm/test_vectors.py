@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from vellumspark.llm import ann, embed_dedup
 
@@ -52,6 +53,32 @@ def test_links_against_all_pairs(spark):
     assert sum(r.n_links for r in got) > 100
 
 
+def test_cells_are_split_again(spark):
+    """Blocks of twenty vectors: crowded cells have levels below them, others don't."""
+    many = vectors(3, 40, 5, 0.05) + (np.ones((200, 5)) + np.random.default_rng(4).normal(size=(200, 5)) * 0.4).tolist()
+    rows = list(enumerate(np.array(many, np.float32).astype(float).tolist()))
+    whole = brute_links(rows)
+    for kind in ("float", "double"):
+        df = frame(spark, rows).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+        got = embed_dedup.duplicates(df, block=20).collect()
+        assert sorted(((False, r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == whole
+
+
+def test_node_pairs_stay_few_on_clusters(spark):
+    """Far clusters: of all pairs of blocks few are left, and no link is lost."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(np.eye(24), 60, axis=0) + rng.normal(size=(1440, 24)) * 0.02
+    got = embed_dedup.duplicates(frame(spark, list(enumerate(x.tolist()))), block=60)
+    assert {(r.n_links, r.component_id == r.vec_id // 60 * 60) for r in got.collect()} == {(59, True)}
+    points = spark.createDataFrame([(i, 1, hash((i, 7)), v.tobytes()) for i, v in enumerate(x)], embed_dedup.POINTS)
+    placed, levels = embed_dedup._cells(points, 30, lambda pdf: embed_dedup.units(np.frombuffer(b"".join(pdf["x"])).reshape(len(pdf), -1)))
+    pairs = spark.createDataFrame([(embed_dedup.ROOT, embed_dedup.ROOT)], "a long, b long")
+    for children in levels:
+        pairs = embed_dedup._descend(pairs, children, np.sqrt(0.2))
+    cells = placed.select("cell").distinct().count()
+    assert cells >= 24 and pairs.count() < cells * 4
+
+
 def test_traversal_counts_whole_nodes():
     rng = np.random.default_rng(1)
     x = embed_dedup.units(np.concatenate([np.ones((400, 8)) + rng.normal(size=(400, 8)) * 0.01, rng.normal(size=(200, 8))]))

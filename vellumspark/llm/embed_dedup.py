@@ -1,30 +1,38 @@
 """Exact cosine near-duplicates of vectors by dual traversal of cover trees.
 
 On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2t). Equal
-vectors are merged first and carry their number. Pivots, a net of a bounded sample,
-are the tree's upper level: every vector belongs to its nearest pivot, and a crowded
-pivot's vectors are dealt into blocks of bounded size. Within a block, nested nets with
-halving radii are the lower levels. Two blocks, then two nodes, are compared only if
-their covering radii let a pair be near enough; nodes all of whose pairs are near count
-as a whole. What is left is compared in double precision.
+vectors are merged first and carry their number. The tree's upper levels are cells: a
+crowded cell's pivots are a net of a sample of its vectors, and its vectors go to the
+nearest; cells of few blocks are dealt into blocks of bounded size. Within a block,
+nested nets with halving radii are the lower levels. The dual traversal descends from
+the root pair by joins, as only children of a pair that is near enough meet, then within
+a pair of blocks: two nodes are compared only if their covering radii let a pair be near
+enough; nodes all of whose pairs are near count as a whole. What is left is compared in
+double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import kept
 from .components import connected_components
 
 COSINE = 0.9
-#: Vectors of the sample that pivots are chosen from, pivots at most, vectors of a block.
-SAMPLE, PIVOTS, BLOCK = 4096, 64, 8192
+#: Vectors expected in the sample that a cell's pivots are chosen from, pivots of a cell
+#: at most, vectors of a block.
+SAMPLE, FAN, BLOCK = 4096, 64, 5000
+#: Cells of more blocks than this are split, this many times at most.
+SPLIT, DEPTH = 4, 4
+ROOT = 1
+POINTS = "rep long, n long, h long, x binary"
 #: Radii of the nets within a block.
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Slack on bounds for rounding; the comparison itself has none.
@@ -240,7 +248,8 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     if not 0 < cosine < 1:
         raise ValueError("cosine must lie between 0 and 1")
     rows, merged = prepared(vectors)
-    found = [_dimension(merged.where(F.size("v") == d), cosine, block) for d in sorted(r[0] for r in merged.select(F.size("v")).distinct().collect())]
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    found = [_dimension(merged.where(F.size("v") == d), cosine, block, single) for d in sorted(r[0] for r in merged.select(F.size("v")).distinct().collect())]
     spark = vectors.sparkSession
     counts, edges = (spark.createDataFrame([], "rep long, links long"), spark.createDataFrame([], "a long, b long"))
     for c, e in found:
@@ -253,69 +262,43 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _dimension(merged: DataFrame, cosine: float, block: int) -> tuple[DataFrame, DataFrame]:
+def _dimension(merged: DataFrame, cosine: float, block: int, single: bool) -> tuple[DataFrame, DataFrame]:
     """(rep, links), (a, b) among merged vectors of one length."""
-    sample = np.array([r.v for r in merged.orderBy("h", "rep").limit(SAMPLE).toLocalIterator()])
-    total = merged.count()
-    most = max(1, min(PIVOTS, total // block))
-    chosen = units(sample)
-    radius, pivots = 2.0, chosen[:1]
-    while len(pivots) < most and radius > 0.05:  # halving radii until there are enough
-        radius /= 2
-        pivots = chosen[net(chosen, radius)[0]][:most]
-
-    def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = np.float32 if single else np.float64
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                x = units(np.array(b.column("v").flatten()).reshape(b.num_rows, -1))
-                d = distances(x, pivots)
-                cell = d.argmin(axis=1)
-                yield pa.record_batch([b.column("rep"), b.column("n"), b.column("h"), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "n", "h", "cell", "x"])
-
-    placed = kept(merged.select("rep", "n", "h", "v").mapInArrow(assign, "rep long, n long, h long, cell int, x binary"), "placed")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("k")).collect()  # one row for each of PIVOTS
-    parts = {r.cell: -(-r.k // block) for r in sizes}
-    base, first = {}, 0
-    for cell in sorted(parts):
-        base[cell], first = first, first + parts[cell]
-    of = F.create_map(*[F.lit(v) for c in parts for v in (c, parts[c])])
-    start = F.create_map(*[F.lit(v) for c in parts for v in (c, base[c])])
-    dealt = placed.withColumn("block", start[F.col("cell")] + F.pmod(F.xxhash64("h", "rep"), of[F.col("cell")]).cast("int"))
+                x = np.array(b.column("v").flatten(), kind).reshape(b.num_rows, -1)
+                yield pa.record_batch([b.column("rep"), b.column("n"), b.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "n", "h", "x"])
+
+    def unpacked(pdf: pd.DataFrame) -> np.ndarray:
+        return units(np.frombuffer(b"".join(pdf["x"]), kind).reshape(len(pdf), -1).astype(float))
+
+    points = merged.select("rep", "n", "h", "v").mapInArrow(pack, POINTS)
+    placed, levels = _cells(points, block, unpacked)
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("k"))
+    parts = F.ceil(F.col("k") / block)
+    dealt = placed.join(sizes, "cell").withColumn("block", F.shiftleft("cell", 31) + F.pmod(F.xxhash64("h", "rep"), parts))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["x"]), float).reshape(len(pdf), -1)
+        x = unpacked(pdf)
         mean = x.mean(axis=0)
         far = float(np.sqrt(((x - mean) ** 2).sum(axis=1)).max())
-        return pd.DataFrame({"block": key[0], "rep": pdf["rep"], "n": pdf["n"], "x": pdf["x"], "path": [p.tobytes() for p in node_path(x)], "mean": [mean.tobytes() if i == 0 else None for i in range(len(pdf))], "far": far})
-
-    trees = kept(dealt.groupBy("block").applyInPandas(grow, "block int, rep long, n long, x binary, path binary, mean binary, far double"), "trees")
-    tops = trees.where("mean IS NOT NULL").select("block", "mean", "far").collect()  # one row a block
-    centre = np.array([np.frombuffer(r.mean) for r in tops])
-    reach = np.sqrt(2 - 2 * cosine)
-    partners: dict[int, list[int]] = {r.block: [] for r in tops}
-    for i, r in enumerate(tops):
-        gap = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
-        for j, s in enumerate(tops):
-            if r.block <= s.block and gap[j] <= reach + r.far + s.far + SLACK:
-                partners[r.block].append(s.block)
-                if r.block != s.block:
-                    partners[s.block].append(r.block)
-    shared = merged.sparkSession.sparkContext.broadcast(partners)
-
-    def replicate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            blocks = b.column("block").to_pylist()
-            for block_ in set(blocks):
-                mine = b.filter(pa.array([x == block_ for x in blocks]))
-                for other in shared.value[block_]:
-                    low, high = min(block_, other), max(block_, other)
-                    yield pa.record_batch([pa.array([low] * mine.num_rows, pa.int32()), pa.array([high] * mine.num_rows, pa.int32()), *(mine.column(c) for c in ("block", "rep", "n", "x", "path"))], names=["low", "high", "block", "rep", "n", "x", "path"])
-
-    pairs = trees.select("block", "rep", "n", "x", "path").mapInArrow(replicate, "low int, high int, block int, rep long, n long, x binary, path binary")
+        rows = range(len(pdf))
+        return pd.DataFrame({"block": key[0], "cell": pdf["cell"], "rep": pdf["rep"], "n": pdf["n"], "x": pdf["x"], "path": [p.tobytes() for p in node_path(x)], "centre": [mean if i == 0 else None for i in rows], "far": far})
+
+    trees = kept(dealt.groupBy("block").applyInPandas(grow, "block long, cell long, rep long, n long, x binary, path binary, centre array<double>, far double"), "trees")
+    levels.append(trees.where("centre IS NOT NULL").select(F.col("cell").alias("parent"), F.col("block").alias("child"), "centre", "far"))
+    pairs = merged.sparkSession.createDataFrame([(ROOT, ROOT)], "a long, b long")
+    for children in levels:
+        pairs = kept(_descend(pairs, children, float(np.sqrt(2 - 2 * cosine))), "node-pairs")
+    low, high = F.col("a").alias("low"), F.col("b").alias("high")
+    partners = pairs.select(F.col("a").alias("block"), low, high).unionByName(pairs.where("a < b").select(F.col("b").alias("block"), low, high))
+    shipped = trees.select("block", "rep", "n", "x", "path").join(partners, "block")
 
     def tree(pdf: pd.DataFrame) -> Tree:
-        rows = len(pdf)
-        return Tree(pdf["rep"].to_numpy(), pdf["n"].to_numpy(), np.frombuffer(b"".join(pdf["x"]), float).reshape(rows, -1), np.frombuffer(b"".join(pdf["path"]), np.int32).reshape(rows, -1))
+        return Tree(pdf["rep"].to_numpy(), pdf["n"].to_numpy(), unpacked(pdf), np.frombuffer(b"".join(pdf["path"]), np.int32).reshape(len(pdf), -1))
 
     def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
@@ -326,5 +309,65 @@ def _dimension(merged: DataFrame, cosine: float, block: int) -> tuple[DataFrame,
         hit = count > 0
         return pd.DataFrame({"rep": np.concatenate([ids[hit], edges[:, 0]]), "links": np.concatenate([count[hit], np.zeros(len(edges), np.int64)]), "other": np.concatenate([ids[hit], edges[:, 1]])})
 
-    out = kept(pairs.groupBy("low", "high").applyInPandas(match, "rep long, links long, other long"), "matches")
+    out = kept(shipped.groupBy("low", "high").applyInPandas(match, "rep long, links long, other long"), "matches")
     return out.where("links > 0").select("rep", "links"), out.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+
+
+def _cells(points: DataFrame, block: int, unpacked: Callable[[pd.DataFrame], np.ndarray]) -> tuple[DataFrame, list[DataFrame]]:
+    """Vectors with the lowest cell they are in, and for every level its cells (parent,
+    child, centre, far). Cells of more than SPLIT blocks are split again, DEPTH times at
+    most; others are their own only child."""
+    placed, levels = kept(points.withColumn("cell", F.lit(ROOT).cast("long")), "placed"), []
+    for _ in range(DEPTH):
+        sizes = kept(placed.groupBy("cell").agg(F.count("*").alias("k"), F.ceil(F.count("*") / block).alias("parts")), "cells")
+        if sizes.where(F.col("parts") > SPLIT).isEmpty():
+            break
+        placed, children = _split(placed, sizes, unpacked)
+        if levels:
+            calm = levels[-1].join(sizes.where(F.col("parts") <= SPLIT), F.col("child") == F.col("cell"))
+            children = children.unionByName(calm.select(F.col("child").alias("parent"), "child", "centre", "far"))
+        levels.append(kept(children, "level"))
+    return placed, levels
+
+
+def _split(placed: DataFrame, sizes: DataFrame, unpacked: Callable[[pd.DataFrame], np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Crowded cells' vectors go to the nearest of their cell's pivots."""
+    rows = placed.join(sizes, "cell")
+    crowded = rows.where(F.col("parts") > SPLIT)
+    spot = F.pmod(F.xxhash64("h", "rep"), F.lit(1 << 30)) / (1 << 30)
+
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, most = unpacked(pdf.sort_values(["h", "rep"])), min(FAN, int(pdf["parts"].iloc[0]))
+        radius, at = 2.0, np.zeros(1, np.int64)
+        while len(at) < most and radius > 0.05:  # the coarser net stays whole, so that all are covered
+            radius /= 2
+            fine = net(x, radius)[0]
+            at = np.concatenate([at, fine[~np.isin(fine, at)]])[:most]
+        pivots = x[at]
+        return pd.DataFrame({"parent": key[0], "child": key[0] * 2 * FAN + np.arange(len(pivots)), "centre": list(pivots), "parts": pdf["parts"].iloc[0]})
+
+    pivots = kept(crowded.where(spot * F.col("k") < SAMPLE).groupBy("cell").applyInPandas(choose, "parent long, child long, centre array<double>, parts long"), "pivots")
+    everywhere = pivots.select("parent", "child", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+
+    def assign(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame({c: [] for c in ("rep", "n", "h", "x", "cell", "far")})
+        centres, ids = np.stack(near["centre"].to_numpy()), near["child"].to_numpy()
+        x = unpacked(own)
+        cell = distances(x, centres).argmin(axis=1)
+        far = np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
+        return pd.DataFrame({"rep": own["rep"], "n": own["n"], "h": own["h"], "x": own["x"], "cell": ids[cell], "far": far})
+
+    dealt = crowded.select("rep", "n", "h", "x", "cell", F.pmod("h", "parts").alias("salt"))
+    out = kept(dealt.groupBy("cell", "salt").cogroup(everywhere.groupBy("parent", "salt")).applyInPandas(assign, f"{POINTS}, cell long, far double"), "split")
+    children = pivots.drop("parts").join(out.groupBy("cell").agg(F.max("far").alias("far")), F.col("child") == F.col("cell")).drop("cell")
+    return out.drop("far").unionByName(rows.where(F.col("parts") <= SPLIT).select(*placed.columns)), children
+
+
+def _descend(pairs: DataFrame, children: DataFrame, reach: float) -> DataFrame:
+    """Pairs of nodes whose covering radii let a pair of vectors be near, one level below
+    ``pairs``: a pair's children meet each other only."""
+    of = [children.select(F.col("parent").alias(s), F.col("child").alias(f"{s}_"), F.col("centre").alias(f"{s}x"), F.col("far").alias(f"{s}f")) for s in "ab"]
+    met = pairs.join(of[0], "a").join(of[1], "b").where("a <> b OR a_ <= b_")
+    gap = F.sqrt(F.aggregate(F.zip_with("ax", "bx", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
+    return met.where(gap <= F.col("af") + F.col("bf") + reach + SLACK).select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
