@@ -238,6 +238,12 @@ def test_containers(spark, tmp_path):
             containers.entries(bad)
     with pytest.raises(ValueError):
         containers.build([("a", "I8", [1], b"1"), ("a", "I8", [1], b"2")])
+    with pytest.raises(ValueError):
+        containers.build([("a", "F32", [2], b"1234")])
+    ranges = {(r.path[-3:], r.name): list(r["values"]) for r in containers.values(spark, str(tmp_path), ["a.w", "h", "absent"], ranges=True).collect()}
+    assert ranges == got
+    with pytest.raises(Exception, match="a.w is F32"):
+        containers.values(spark, str(tmp_path), ["a.w"], rank=1).collect()
 
 
 def test_strict_lines_and_manifests(spark):

@@ -1,11 +1,13 @@
-"""Tail risk of samples in [0, 1]. Nothing sorts the samples: they are first counted by
-value, which every measure only needs."""
+"""Tail risk of samples in [0, 1]. Samples are first counted by value, which every measure
+only needs; values are ranked by ranges, so no task sees them all."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import running
+
 ALPHA, EVT_Q, POT = 0.10, 0.999, 0.15
 MIN_EXCEED = 8
 
@@ -18,13 +20,19 @@ def checked(samples: DataFrame, value: str) -> DataFrame:
 
 
 def histogram(samples: DataFrame, value: str) -> DataFrame:
-    """(x, c): one row a distinct value; all later windows run over these only."""
+    """(x, c): one row a distinct value; all later sums run over these only."""
     return checked(samples, value).groupBy("x").agg(F.count("*").alias("c"))
 
 
+def ranked(hist: DataFrame, order: Column | str, name: str) -> DataFrame:
+    """The histogram with the number of samples up to each value, and of all (n)."""
+    total = hist.agg(F.sum("c").alias("n"))
+    return running(hist, order, "c", name).join(F.broadcast(total))
+
+
 def quantiles(hist: DataFrame, qs: dict[str, float]) -> DataFrame:
     """One row of type-7 quantiles by name, from the histogram."""
-    run = hist.select("x", "c", F.sum("c").over(Window.orderBy("x")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    run = ranked(hist, "x", "upto")
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("x")))
@@ -39,7 +47,7 @@ def quantiles(hist: DataFrame, qs: dict[str, float]) -> DataFrame:
 
 def cvar(hist: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(cvar): mean of the worst ``alpha`` of all samples, the last one in part."""
-    run = hist.select("x", "c", (F.sum("c").over(Window.orderBy(F.desc("x"))) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    run = ranked(hist, F.desc("x"), "upto").withColumn("before", F.col("upto") - F.col("c"))
     size = F.lit(alpha) * F.col("n")
     taken = F.greatest(F.lit(0.0), F.least(F.col("c").cast("double"), size - F.col("before")))
     single = F.max(size) < 1  # under one sample: the worst one itself
@@ -51,7 +59,7 @@ def pareto(hist: DataFrame, pot: float = POT) -> DataFrame:
     weighted moments; shape and scale are null where the fit falls back."""
     q = quantiles(hist, {"u": 1 - pot})
     over = hist.join(F.broadcast(q), F.col("x") > F.col("u")).select((F.col("x") - F.col("u")).alias("y"), "c")
-    run = over.select("y", F.col("c").cast("double").alias("c"), F.sum("c").over(Window.orderBy("y")).cast("double").alias("upto"), F.sum("c").over(Window.partitionBy()).cast("double").alias("m"))
+    run = ranked(over, "y", "upto").select("y", *[F.col(a).cast("double").alias(b) for a, b in (("c", "c"), ("upto", "upto"), ("n", "m"))])
     # copies of a value have ranks upto - c + 1 to upto; their mean rank is enough
     rank = F.col("upto") - (F.col("c") - 1) / 2
     sums = run.agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("m"), (F.sum(F.col("y") * F.col("c")) / F.max("m")).alias("a0"), (F.sum((1 - (rank - 0.35) / F.col("m")) * F.col("y") * F.col("c")) / F.max("m")).alias("a1"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import ranged
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row numbers over a total order, without one task for all rows: rows are sorted
     across partitions, and each partition starts where those before it end."""
-    spread = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    spread = ranged(rows, *order)
     counts = spread.groupBy("_p").agg(F.count("*").alias("n"))
     before = counts.select(F.col("_p").alias("_q"), (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_b"))  # one row a partition
     inside = F.row_number().over(Window.partitionBy("_p").orderBy("_m"))

@@ -4,15 +4,40 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of spark.checkpoint.dir, which executors share.
-    Without that setting, in local mode only, a folder of this machine is taken."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Without that
+    setting, in local mode only, a folder of this machine is taken."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` dealt over partitions by ranges of ``order``, stored, with its partition in
+    _p and its place in _m: ranges and places are those of one run."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return settled(spread.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+
+
+def running(df: DataFrame, order: Column | str, amount: str, name: str) -> DataFrame:
+    """Sum of ``amount`` up to and with each row in ``order``, without one task for all
+    rows: each range starts at the sum of those before it."""
+    spread = ranged(df, order)
+    sums = spread.groupBy("_p").agg(F.sum(amount).alias("_s"))
+    before = sums.select(F.col("_p").alias("_q"), (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_b"))  # one row a partition
+    inside = F.sum(amount).over(Window.partitionBy("_p").orderBy("_m"))
+    return spread.withColumn(name, inside).join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(name, F.col(name) + F.col("_b")).drop("_p", "_m", "_q", "_b")
