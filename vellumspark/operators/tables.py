@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,15 @@ def shared_folder(spark) -> str:
     return found.rstrip("/")
 
 
+def visible(spark) -> None:
+    """Let local Python workers import this package wherever the driver was started. A
+    cluster ships the package with --py-files as usual."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder."""
     shared_folder(df.sparkSession)

@@ -25,6 +25,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumspark.operators.tables import visible
+
 MAGIC, VERSION, ALIGN = b"VLMT", 1, 64
 PIECE = 1 << 20
 WIDTHS = {"F32": 4, "F16": 2, "BF16": 2, "I8": 1, "U8": 1, "I32": 4, "I64": 8}
@@ -131,6 +133,7 @@ def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def _files(spark: SparkSession, path: str, glob: str | None, ranges: bool) -> DataFrame:
+    visible(spark)
     reader = spark.read.format("binaryFile")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     return files.select("path", F.lit(None).cast("binary").alias("content")) if ranges else files.select("path", "content")
@@ -194,6 +197,7 @@ def write(tensors: DataFrame, path: str, form: str = "own") -> DataFrame:
     """One container for each ``file`` of (file, name, dtype, shape, values): a table of
     (file, path, bytes), written as it is computed. A file's tensors are one task's, as
     they are one file; a task that runs again writes the same bytes."""
+    visible(tensors.sparkSession)
     make = {"own": build, "safetensors": build_safetensors}[form]
     kinds = {"F32": "<f4", "F16": "<f2", "I8": "i1", "U8": "u1", "I32": "<i4", "I64": "<i8"}
 
