@@ -45,9 +45,10 @@ def merge(piece: bytes, known: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def encode(texts: DataFrame, path: str, key: list[str], text: str = "text") -> DataFrame:
+def encode(texts: DataFrame, path: str, key: list[str], text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """(key, ids array<int>) of raw-byte merging; null text has null ids. A byte that the
-    vocabulary lacks is an error."""
+    vocabulary lacks is an error. ``added`` tokens are found in place, the longest first;
+    nothing is put before or after a text."""
     kinds = dict(texts.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), "ids array<int>"])
 
@@ -56,21 +57,32 @@ def encode(texts: DataFrame, path: str, key: list[str], text: str = "text") -> D
 
         known, cut = ranks(path), regex.compile(PATTERN)
         ids = functools.lru_cache(200_000)(lambda p: [known[x] for x in merge(p.encode(), known)])
+        own = added or {}
+        marks = regex.compile("|".join(regex.escape(a) for a in sorted(own, key=len, reverse=True)) or "(?!)")
+
+        def all_ids(t: str) -> Iterator[int]:
+            at = 0
+            for m in marks.finditer(t):
+                yield from (i for p in cut.findall(t[at : m.start()]) for i in ids(p))
+                yield own[m[0]]
+                at = m.end()
+            yield from (i for p in cut.findall(t[at:]) for i in ids(p))
+
         for b in it:
-            rows = [None if t is None else [i for p in cut.findall(t) for i in ids(p)] for t in b.column(len(key)).to_pylist()]
+            rows = [None if t is None else list(all_ids(t)) for t in b.column(len(key)).to_pylist()]
             yield pa.record_batch([*b.columns[: len(key)], pa.array(rows, pa.list_(pa.int32()))], names=[*key, "ids"])
 
     return texts.select(*key, F.col(text).cast("string")).mapInArrow(batches, schema)
 
 
-def decode(rows: DataFrame, path: str, key: list[str], strict: bool = False) -> DataFrame:
+def decode(rows: DataFrame, path: str, key: list[str], strict: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """(key, text) from (key, ids). Bytes that are no UTF-8 become U+FFFD, or an error if
     ``strict``; an unknown id is an error."""
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), "text string"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = {i: t for t, i in ranks(path).items()}
+        back = {i: t for t, i in ranks(path).items()} | {i: t.encode() for t, i in (added or {}).items()}
         for b in it:
             texts = [None if ids is None else b"".join(back[i] for i in ids).decode("utf-8", "strict" if strict else "replace") for ids in b.column(len(key)).to_pylist()]
             yield pa.record_batch([*b.columns[: len(key)], pa.array(texts, pa.string())], names=[*key, "text"])

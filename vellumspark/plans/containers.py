@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from vellumspark.operators import convert
 from vellumspark.operators.tables import shared_folder
 from vellumspark.sources import containers
 
 from .base import query, read
+from .vectors import INT8_Q
 
 
 def written(spark, sf, form="own"):
@@ -75,3 +77,19 @@ def k08_written_twice(spark, sf):
     shas = [spark.read.format("binaryFile").load(p).select(file_number(), F.sha2("content", 256).alias(c)) for p, c in ((a, "one"), (b, "two"))]
     rows = containers.directory(spark, a).groupBy(file_number()).agg(F.count("*").alias("tensors"), F.sum("byte_len").alias("payload"))
     return rows.join(shas[0], "file").join(shas[1], "file").where("one = two").select("file", "tensors", "payload")
+
+
+@query(f"""WITH r AS (SELECT vec_id, i, (embedding::DOUBLE[])[i * 8 + 1 : i * 8 + 8] AS v FROM embeddings, range(8) AS o(i)),
+s AS (SELECT *, coalesce(nullif((list_max(list_transform(v, lambda x: abs(x))) / 127)::FLOAT::DOUBLE, 0), 1) AS scale FROM r),
+q AS (SELECT vec_id, 'model.layers.' || vec_id || CASE WHEN vec_id % 3 = 0 THEN '.mlp.up_proj.weight' ELSE '.input_layernorm.weight' END AS name, string_agg(array_to_string({INT8_Q}, ','), ',' ORDER BY i) AS q FROM s GROUP BY vec_id)
+SELECT name, CASE WHEN vec_id % 3 = 0 THEN 'I8' ELSE 'F32' END AS dtype, 64 AS n, CASE WHEN vec_id % 3 = 0 THEN q END AS q FROM q UNION ALL SELECT name || '.scale', 'F32', 8, NULL FROM q WHERE vec_id % 3 = 0""")
+def k10_converted(spark, sf):
+    """From one container to another: vectors as matrices of eight rows."""
+    here, there = (f"{shared_folder(spark)}/containers-{uuid.uuid4().hex}" for _ in range(2))
+    name = F.concat(F.lit("model.layers."), "vec_id", F.when(F.col("vec_id") % 3 == 0, ".mlp.up_proj.weight").otherwise(".input_layernorm.weight"))
+    rows = read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 256).alias("file"), name.alias("name"), F.lit("F32").alias("dtype"), F.array(F.lit(8).cast("long"), F.lit(8).cast("long")).alias("shape"), F.col("embedding").cast("array<float>").alias("values"))
+    containers.write(rows, here, "safetensors").agg(F.sum("bytes")).collect()
+    found = containers.values(spark, here, None, ranges=True).withColumn("file", file_number())
+    containers.write(convert.quantised(found), there).agg(F.sum("bytes")).collect()
+    got = containers.values(spark, there, None, ranges=True)
+    return got.select("name", "dtype", F.size("values").alias("n"), F.when(F.col("dtype") == "I8", F.array_join(F.col("values").cast("array<int>"), ",")).alias("q"))

@@ -33,6 +33,20 @@ def x20_round_trip(spark, sf):
     return back.select("conv_id", "turn", F.md5("text").alias("h"))
 
 
+ADDED = {"<|stop|>": 60000, "<|stop|>!": 60001}
+
+
+@query("""SELECT conv_id, turn, md5('<|stop|>!' || coalesce(text, '') || '<|stop|>') AS h, 1 + (len(coalesce(text, '')) - len(replace(coalesce(text, ''), '<|stop|>', ''))) // 8 AS stops, 1 AS longer FROM conversations""")
+def x17_added_tokens(spark, sf):
+    """Added tokens around every turn; the longer of two that fit is taken."""
+    key = ["conv_id", "turn"]
+    texts = _turns(spark, sf).withColumn("text", F.concat(F.lit("<|stop|>!"), F.coalesce("text", F.lit("")), F.lit("<|stop|>")))
+    ids = bpe.encode(texts, _ranks(), key, added=ADDED)
+    count = lambda token: F.size(F.filter("ids", lambda i: i == ADDED[token]))
+    back = bpe.decode(ids, _ranks(), key, strict=True, added=ADDED)
+    return back.select(*key, F.md5("text").alias("h")).join(ids.select(*key, count("<|stop|>").alias("stops"), count("<|stop|>!").alias("longer")), key)
+
+
 GRID = "SELECT vec_id // 256 AS image, (vec_id % 256 // 16)::INTEGER AS y, (vec_id % 16)::INTEGER AS x, embedding[1]::DOUBLE AS v FROM embeddings"
 
 

@@ -30,8 +30,9 @@ from vellumspark.operators.tables import visible
 MAGIC, VERSION, ALIGN = b"VLMT", 1, 64
 PIECE = 1 << 20
 WIDTHS = {"F32": 4, "F16": 2, "BF16": 2, "I8": 1, "U8": 1, "I32": 4, "I64": 8}
+KINDS = {"F32": "<f4", "F16": "<f2", "I8": "i1", "U8": "u1", "I32": "<i4", "I64": "<i8"}
 DIRECTORY = "path string, format string, name string, dtype string, shape array<bigint>, byte_offset bigint, byte_len bigint"
-VALUES = "path string, name string, shape array<bigint>, values array<float>"
+VALUES = "path string, name string, dtype string, shape array<bigint>, values array<float>"
 
 
 def sniff(content: bytes) -> str | None:
@@ -93,8 +94,14 @@ def decode(data: bytes, dtype: str) -> np.ndarray:
     """Widened to 32-bit floats, exactly."""
     if dtype == "BF16":
         return (np.frombuffer(data, "<u2").astype("<u4") << 16).view("<f4")
-    kinds = {"F32": "<f4", "F16": "<f2", "I8": "i1", "U8": "u1", "I32": "<i4", "I64": "<i8"}
-    return np.frombuffer(data, kinds[dtype]).astype("<f4")
+    return np.frombuffer(data, KINDS[dtype]).astype("<f4")
+
+
+def encoded(values: list[float], dtype: str) -> bytes:
+    """What decode widens, narrowed again."""
+    if dtype == "BF16":
+        return (np.asarray(values, "<f4").view("<u4") >> 16).astype("<u2").tobytes()
+    return np.asarray(values, float).astype(KINDS[dtype]).tobytes()
 
 
 def _laid(tensors: list[tuple[str, str, list[int], bytes]], align: int) -> tuple[list[tuple[str, str, list[int], int, int]], bytes]:
@@ -175,20 +182,20 @@ def directory(spark: SparkSession, path: str, glob: str | None = None, ranges: b
     return _files(spark, path, glob, ranges).mapInArrow(batches, DIRECTORY)
 
 
-def values(spark: SparkSession, path: str, names: list[str], glob: str | None = None, ranges: bool = False, rank: int | None = None, dtype: str | None = None) -> DataFrame:
-    """Only the named tensors are read and decoded; a name that no file has is simply
+def values(spark: SparkSession, path: str, names: list[str] | None, glob: str | None = None, ranges: bool = False, rank: int | None = None, dtype: str | None = None) -> DataFrame:
+    """Only the named tensors (all, if None) are read and decoded; a name that no file has is simply
     absent. A named tensor of another ``rank`` or ``dtype`` than asked for is an error."""
-    wanted = set(names)
+    wanted = None if names is None else set(names)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for p, f in _streams(b):
                 for name, kind, shape, at, size in entries(f, verify=False):
-                    if name in wanted:
+                    if wanted is None or name in wanted:
                         if rank not in (None, len(shape)) or dtype not in (None, kind):
                             raise ValueError(f"{name} is {kind} {shape}")
                         f.seek(at)
-                        yield pa.record_batch([pa.array([p]), pa.array([name]), pa.array([shape], pa.list_(pa.int64())), pa.array([decode(f.read(size), kind)], pa.list_(pa.float32()))], names=["path", "name", "shape", "values"])
+                        yield pa.record_batch([pa.array([p]), pa.array([name]), pa.array([kind]), pa.array([shape], pa.list_(pa.int64())), pa.array([decode(f.read(size), kind)], pa.list_(pa.float32()))], names=["path", "name", "dtype", "shape", "values"])
 
     return _files(spark, path, glob, ranges).mapInArrow(batches, VALUES)
 
@@ -199,10 +206,9 @@ def write(tensors: DataFrame, path: str, form: str = "own") -> DataFrame:
     they are one file; a task that runs again writes the same bytes."""
     visible(tensors.sparkSession)
     make = {"own": build, "safetensors": build_safetensors}[form]
-    kinds = {"F32": "<f4", "F16": "<f2", "I8": "i1", "U8": "u1", "I32": "<i4", "I64": "<i8"}
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.name, r.dtype, list(r.shape), np.asarray(r.values, float).astype(kinds[r.dtype]).tobytes()) for r in pdf.itertuples(index=False)]
+        rows = [(r.name, r.dtype, list(r.shape), encoded(r.values, r.dtype)) for r in pdf.itertuples(index=False)]
         data = make(rows)
         to = f"{path}/{key[0]}.{form}"
         fs, at = _opened(to)
