@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, langid, line_dedup, mixing, packing, quality, simhash, url_filter, warc
+from . import ann, embed_dedup, langid, line_dedup, mixing, packing, quality, simhash, turn_repair, url_filter, warc
 from .common import table, visible
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op2_line_dedup, op3_warc, op4_packing, op5_url_filter, op6_quality, op7_langid, op8_mixing, op9_embedding_near_dedup, op10_ann]
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+_QUERIES = [op1_simhash_near_dedup, op2_line_dedup, op3_warc, op4_packing, op5_url_filter, op6_quality, op7_langid, op8_mixing, op9_embedding_near_dedup, op10_ann, op11_conversation_repair]
 
 
 def queries() -> dict[str, Query]:
