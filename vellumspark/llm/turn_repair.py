@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import whole
 from .common import kept
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Turns above which a conversation is repaired in pieces, and turns of a piece.
 LONG = 4096
-#: Turns and bytes of a block of whole conversations that one tensor step works on.
-BLOCK_ROWS, BLOCK_BYTES = 1 << 15, 1 << 26
 #: Role initials; ABSENT pads a bucket.
 USER, ASSISTANT, SYSTEM, OTHER, ABSENT = range(5)
 START, AFTER_S, AFTER_U, AFTER_A = range(4)
@@ -112,34 +111,6 @@ def trace(back: np.ndarray, kind: np.ndarray, must: np.ndarray, cut: np.ndarray,
     return (np.array(letters, np.uint8) if letters else np.zeros(shape, np.uint8), np.array(at) if at else np.zeros(shape, np.int64), np.array(roles) if roles else np.zeros(shape, np.int64), state)
 
 
-def whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Blocks of whole groups of sorted rows, with the rows' group numbers in the block."""
-
-    def changes(t: pa.Table) -> np.ndarray:
-        differ = np.zeros(len(t), bool)
-        for key in keys:
-            c = t[key].combine_chunks()
-            values, null = c.fill_null(0).to_numpy(zero_copy_only=False), c.is_null().to_numpy(zero_copy_only=False)
-            differ[1:] |= (values[1:] != values[:-1]) | (null[1:] != null[:-1])
-        return differ
-
-    held: list[pa.Table] = []
-    for b in batches:
-        held.append(pa.Table.from_batches([b]))
-        if sum(map(len, held)) < BLOCK_ROWS and sum(t.nbytes for t in held) < BLOCK_BYTES:
-            continue
-        t = pa.concat_tables(held)
-        starts = np.flatnonzero(changes(t))
-        held = [t]
-        if len(starts):
-            ready = t.slice(0, int(starts[-1]))
-            held = [t.slice(int(starts[-1]))]
-            yield ready, np.cumsum(changes(ready))
-    if held and sum(map(len, held)):
-        t = pa.concat_tables(held)
-        yield t, np.cumsum(changes(t))
-
-
 def _buckets(sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Groups of similar length: those with the same highest bit."""
     bits = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
