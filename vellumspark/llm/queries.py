@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, langid, line_dedup, mixing, packing, quality, simhash, spelling, turn_repair, url_filter, warc
+from . import ann, embed_dedup, langid, line_dedup, main_text, mixing, packing, quality, simhash, spelling, turn_repair, url_filter, warc
 from .common import table, visible
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,11 +62,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_simhash_near_dedup, op2_line_dedup, op3_warc, op4_packing, op5_url_filter, op6_quality, op7_langid, op8_mixing, op9_embedding_near_dedup, op10_ann, op11_conversation_repair, op13_spelling_variants]
+_QUERIES = [op1_simhash_near_dedup, op2_line_dedup, op3_warc, op4_packing, op5_url_filter, op6_quality, op7_langid, op8_mixing, op9_embedding_near_dedup, op10_ann, op11_conversation_repair, op12_main_text, op13_spelling_variants]
 
 
 def queries() -> dict[str, Query]:
