@@ -44,9 +44,12 @@ OTHER_NAMES = {
     "comments": "comments comment reply replies respond discussion disqus thread responses commentlist reader".split(),
     "share": "share social sharing follow buttons".split(),
 }
+CONTENT = frozenset(CONTENT_NAMES)
 OTHERS = frozenset(w for group in OTHER_NAMES.values() for w in group) - {"top", "text", "more", "links", "body", "bottom", "message", "tags", "thread", "banner", "hero", "foot", "tabs"}
 OTHER_TAGS = frozenset("nav aside footer form dialog menu".split())
-FILLER = ["The harbour was quiet when the last boat came in, and nobody had seen the lights go out.", "Two readings of the gauge differ by more than its makers allow.", "Home", "About us", "Contact", "She wrote the letter twice.", "All rights reserved.", "Read more", "A long winter kept the road closed until the middle of May, when the first trucks crossed the pass."]
+#: Texts for layouts beside those of the declared pages.
+SENTENCES = ["The harbour was quiet when the last boat came in, and nobody had seen the lights go out.", "Two readings of the gauge differ by more than its makers allow.", "She wrote the letter twice.", "A long winter kept the road closed until the middle of May, when the first trucks crossed the pass."]
+SHORT = ["Home", "About us", "Contact", "All rights reserved.", "Read more", "Page 2", "© 2019", "Sign in"]
 
 
 @dataclass
@@ -95,7 +98,8 @@ def features(tree: Tree) -> list[list[int]]:
         if tree.tag[i]:
             mean = _bucket(size[i] // max(leaves[i], 1))
             found = ["e", f"e tag {tree.tag[i]}", f"e in {above} {tree.tag[i]}", f"e links {links}", f"e mean {mean}", f"e mean links {mean} {links}"]
-            found += [f"e name {w}" for w in set(names(tree.attributes[i]))]
+            named = set(names(tree.attributes[i]))
+            found += [f"e name {w}" for w in named] + [f"e {kind}" for kind, known in (("other", OTHERS), ("content", CONTENT)) if named & known]
             if "hidden" in tree.attributes[i] or "display:none" in tree.attributes[i].replace(" ", ""):
                 found.append("e hidden")
         else:
@@ -270,22 +274,20 @@ def labelled(sample: list[str]) -> tuple[list[Tree], list[list[int]]]:
     """Declared pages of the sample and, from their texts, laid-out ones."""
     rng = np.random.default_rng(12)
     trees, labels = [], []
-    content, small = list(FILLER), list(FILLER)
-    pools = []
+    content, small, pools = list(SENTENCES), list(SHORT), []
     for page in sample:
         tree = parse(page)
         found = declared(tree)
-        leaves = [i for i, t in enumerate(tree.tag) if not t]
         if found:
             trees.append(tree)
             labels.append(found)
-        said = [tree.text[i] for i in leaves if (found[i] if found else len(tree.text[i]) > 80)]
-        content += said[:20]
-        small += [tree.text[i] for i in leaves if (not found[i] if found else len(tree.text[i]) <= 80)][:20]
-        pools.append(said[:30] or FILLER[:3])
+            said = [t for t, v in zip(tree.text, found, strict=True) if t and v]
+            content += said[:20]
+            small += [t for t, v in zip(tree.text, found, strict=True) if t and not v][:20]
+            pools.append(said or SENTENCES[:1])
     small += [content[int(k)] for k in rng.integers(0, len(content), len(small) // 3)]  # other regions hold sentences too
-    while len(pools) < 50:
-        pools.append([FILLER[int(k)] for k in rng.integers(0, len(FILLER), 5)])
+    while len(pools) < LABELLED // 2:
+        pools.append([content[int(k)] for k in rng.integers(0, len(content), 5)])
     for said in pools:
         for _ in range(LAYOUTS):
             short, brief = int(rng.integers(1, 1 + min(len(said), 6))), rng.random() < CURT
@@ -315,12 +317,13 @@ def extract(pages: DataFrame) -> DataFrame:
     Null html is empty, as is the text of a page without content; repeated rows stay
     repeated, null ids and urls stay null, other columns are not read, an empty table gives
     none. White space is what Unicode says. The model is fitted on LABELLED pages at most,
-    those whose ids have the smallest hashes among pages of up to LONGEST characters; all
+    those with the smallest hashes of id and html among pages of up to LONGEST characters; all
     pages are read whole, in blocks of about SLAB characters.
     """
     page = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    fair = pages.select("page_id", page).where(F.length("html").between(1, LONGEST))
-    sample = [r.html for r in fair.orderBy(F.xxhash64(F.col("page_id").cast("string")), "page_id", F.md5("html")).limit(LABELLED).collect()]
+    fair = pages.select(page, F.xxhash64(F.col("page_id").cast("string"), page).alias("h")).where(F.length("html").between(1, LONGEST))
+    hashes = [r.h for r in fair.select("h").orderBy("h").limit(LABELLED).collect()]  # pages only of the chosen, not of each partition's first
+    sample = [r.html for r in fair.where(F.col("h") <= max(hashes, default=0)).orderBy("h").limit(LABELLED).collect()]
     weights, both = fit(*labelled(sample))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
