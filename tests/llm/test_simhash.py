@@ -105,3 +105,29 @@ def test_components(spark, pairs):
                 seen[x] = merged
     want = {(n, min(g)) for n, g in seen.items() if n != min(g)}
     assert got == want
+
+
+@pytest.mark.parametrize("cell", [4096, 100])
+def test_a_ball_has_fewer_links_than_pairs(spark, cell):
+    """1,500 fingerprints within two bits of one, and a chain beside them."""
+    rng = np.random.default_rng(11)
+    centre, fps = int(rng.integers(0, 2**62)), set()
+    while len(fps) < 1500:
+        f = centre
+        for bit in rng.choice(64, rng.integers(0, 3), replace=False):
+            f ^= 1 << int(bit)
+        fps.add(f)
+    chain = [int(rng.integers(0, 2**62))]
+    for _ in range(30):
+        f = chain[-1]
+        for bit in rng.choice(64, 4, replace=False):
+            f ^= 1 << int(bit)
+        chain.append(f)
+    nodes = [(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate([*sorted(fps), *dict.fromkeys(chain)])]
+    prints = spark.createDataFrame(nodes, "rep long, fp long").select("fp", "rep")
+    found = simhash.connecting_links(prints, cell=cell).distinct().cache()
+    value = dict(nodes)
+    assert all(bin((value[r.a] ^ value[r.b]) & (2**64 - 1)).count("1") <= 4 or r.b < r.a for r in found.collect())
+    assert 1500 <= found.count() < len(nodes) * found.rdd.getNumPartitions() and found.count() < 10 * len(nodes)
+    want = {(r.node, r.component) for r in connected_components(simhash.links(prints)).collect()}
+    assert {(r.node, r.component) for r in connected_components(found).collect()} == want

@@ -24,6 +24,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from .common import kept
 from .components import connected_components
+from .groups import Groups
 
 COSINE = 0.9
 #: Vectors expected in the sample that a cell's pivots are chosen from, pivots of a cell
@@ -125,24 +126,6 @@ def _span(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[owner], owner
 
 
-class Groups:
-    """Union-find over positions, many pairs at a time."""
-
-    def __init__(self, size: int):
-        self.root = np.arange(size)
-
-    def join(self, p: np.ndarray, q: np.ndarray) -> None:
-        while True:
-            a, b = self.root[p], self.root[q]
-            apart = a != b
-            if not apart.any():
-                return
-            p, q, a, b = p[apart], q[apart], a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
-
-
 def near_nodes(a: Tree, b: Tree, reach: float, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
     """(level, nodes of a, nodes of b, all near) that dual traversal leaves: pairs of
     nodes all of whose vectors are near at any level, others at the last."""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import WORD, free_name, kept
 from .components import connected_components
-from .embed_dedup import Groups
+from .groups import Groups
 
 SHINGLE, SEED = 5, 42
 #: Similarity that links, as a fraction: of whole numbers, so that it is met exactly.
@@ -76,7 +76,7 @@ def fingerprint_links(texts: DataFrame) -> DataFrame:
     prints = kept(simhash.fingerprints(texts.select(F.col("key").alias("doc_id"), "text"), SHINGLE).distinct(), "prints")
     first = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     equal = prints.join(first, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return simhash.links(first).unionByName(equal)
+    return simhash.connecting_links(first).unionByName(equal)
 
 
 def text_key(text: Column) -> Column:
