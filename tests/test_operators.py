@@ -1,6 +1,7 @@
 """Operators that SQL can't express, and the errors that operators promise."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from vellumspark.functions import layout as L
 from vellumspark.functions import text as T
 from vellumspark.functions import vectors as V
+from vellumspark.operators.exact_sums import exact_sums
 from vellumspark.operators import allocation, gates, risk, scaling, scheduling
 from vellumspark.operators import sequences as S
 from vellumspark.sources import containers, records
@@ -374,3 +376,52 @@ def test_domains_of_odd_values(spark):
     assert one(spark, D.last_json(F.col("t")), t='x\n{"a": 1}\n{"a": 2}\n{broken\n') == '{"a": 2}'
     cut = one(spark, D.compact(F.col("t")), t="  " + "é" * 300 + " ")
     assert cut == "é" * 256 + "..." and one(spark, D.compact(F.col("t")), t="a" + "é" * 300) == "a" + "é" * 255 + "..."
+
+
+def test_waterfill_spends_what_is_left(spark):
+    """The steep step doesn't fit; the next one does."""
+    points = spark.createDataFrame([("a", 0, 1000.0), ("a", 100, 0.0), ("b", 0, 10.0), ("b", 10, 0.0)], "tensor string, rate long, distortion double")
+    got = {r.tensor: (r.rate, r.distortion) for r in allocation.waterfill(points, 60).collect()}
+    assert got == {"a": (0, 1000), "b": (10, 0)}
+    assert {r.fallback for r in allocation.allocated(points, 60, 0).collect()} == {None}
+    forced = allocation.allocated(points, 60, 10, forced=True).collect()
+    assert {(r.tensor, r.rate, r.method, r.fallback) for r in forced} == {("a", 100, "uniform-10", "forced fallback"), ("b", 10, "uniform-10", "forced fallback")}
+
+
+def test_waterfill_against_one_step_at_a_time(spark):
+    rng = random.Random(9)
+    curves = {f"t{k:02}": [(r, round(100 / (r + 1) + rng.random() * 3, 3)) for r in sorted(rng.sample(range(40), 6))] for k in range(12)}
+    points = spark.createDataFrame([(t, r, d) for t, c in curves.items() for r, d in c], "tensor string, rate long, distortion double")
+    hulls = {r.tensor: [(p.r, p.d) for p in r.hull] for r in allocation.hull(points).collect()}
+    least = sum(h[0][0] for h in hulls.values())
+    for budget in (least, least + 3, least + 25, least + 90, 10_000):
+        at, used = dict.fromkeys(hulls, 0), least
+        while True:
+            fits = [(-(h[at[t]][1] - h[at[t] + 1][1]) / (h[at[t] + 1][0] - h[at[t]][0]), t) for t, h in hulls.items() if at[t] + 1 < len(h) and used + h[at[t] + 1][0] - h[at[t]][0] <= budget]
+            if not fits:
+                break
+            t = min(fits)[1]
+            used += hulls[t][at[t] + 1][0] - hulls[t][at[t]][0]
+            at[t] += 1
+        assert {r.tensor: r.step for r in allocation.waterfill(points, budget).collect()} == at
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_sums_are_those_of_fsum(spark, parts):
+    rng = random.Random(4)
+    groups = {"a": [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-300, 300) for _ in range(400)], "b": [5e-324, -0.0, 1e308, 1e308, -1e308, 3.0], "c": [0.1] * 10, "d": [1e16, 1.0, -1e16], "e": [float("inf"), 1.0], "f": [None], "g": [float("nan"), 2.0], "h": [2.5e-310, -1.5e-320]}
+    rows = [(k, x) for k, xs in groups.items() for x in xs]
+    rng.shuffle(rows)
+    got = {r.k: (r.total, r.mean, r.n) for r in exact_sums(spark.createDataFrame(rows, "k string, x double").repartition(parts), ["k"], "x").collect()}
+    for k in "abcdh":
+        assert got[k] == (math.fsum(groups[k]), math.fsum(groups[k]) / len(groups[k]), len(groups[k]))
+    assert got["e"][0] == math.inf and got["f"] == (None, None, 0) and math.isnan(got["g"][0])
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rows = [("a", None), ("b", None), ("b", 3.0), (None, 1.0), (None, 5.0)] + [("c", float(k % 7)) for k in range(70)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: tuple(r)[1:] for r in gates.timing(df, "k", "x").select("k", "best", "p50", "mean", "n").collect()}
+    assert got == {"a": (None, None, None, 0), "b": (3.0, 3.0, 3.0, 1), None: (1.0, 3.0, 3.0, 2), "c": (0.0, 3.0, 3.0, 70)}
+    near = {r.k: (r.p50, r.p90) for r in gates.nearest_rank(df, "k", "x").collect()}
+    assert near == {"a": (None, None), "b": (3.0, 3.0), None: (1.0, 5.0), "c": (3.0, 6.0)}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import ranked
+
 NOISY = 5.0
 PRIMARY, TAIL, THROUGHPUT, SLACK = 0.03, 0.15, 0.05, 1e-12
 QUARANTINE = 0.005
@@ -19,15 +23,31 @@ def truncated(x: Column) -> Column:
     return F.floor(x * 1e6) / 1e6
 
 
-def timing(rows: DataFrame, by: str | list[str], value: str) -> DataFrame:
+def _spread(rows: DataFrame, by: list[str], value: str, picks: dict[str, Callable[[Callable[[Column], Column]], Column]]) -> DataFrame:
+    """(by, n, best, mean, cv_pct, *picks): moments by partial sums, and picks from ranks of
+    counted values, so no group's values are held together."""
     x = F.col(value)
-    return rows.groupBy(by).agg(F.min(x).alias("best"), F.percentile(x, 0.5).alias("p50"), F.avg(x).alias("mean"), (F.stddev_samp(x) / F.avg(x) * 100).alias("cv_pct"), F.count(x).alias("n"))
+    moments = rows.groupBy(*by).agg(F.min(x).alias("best"), F.avg(x).alias("mean"), (F.stddev_samp(x) / F.avg(x) * 100).alias("cv_pct"), F.count(x).alias("n"))
+    run = ranked(rows.where(x.isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c")), by, value)
+    found = run.groupBy(*by).agg(*[pick(lambda rank: F.min(F.when(F.col("upto") > rank, x))).alias(name) for name, pick in picks.items()])
+    on = [moments[c].eqNullSafe(found[c]) for c in by]
+    return moments.join(found, on, "left").select(*[moments[c] for c in by], "n", "best", "mean", "cv_pct", *picks)
+
+
+def timing(rows: DataFrame, by: str | list[str], value: str) -> DataFrame:
+    """(by, best, p50, mean, cv_pct, n) with an interpolated median."""
+    by = [by] if isinstance(by, str) else by
+    middle = (F.col("_n") - 1) / 2
+    median = lambda at: (at(F.floor(middle)) + at(F.ceil(middle))) / 2
+    return _spread(rows, by, value, {"p50": median}).select(*by, "best", "p50", "mean", "cv_pct", "n")
 
 
 def nearest_rank(rows: DataFrame, by: str | list[str], value: str) -> DataFrame:
     """Nearest-rank p50 and p90; ``keep`` tells whether the spread allows a claim."""
-    x = F.col(value)
-    return rows.groupBy(by).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {value})").alias("p90"), (F.stddev_samp(x) / F.avg(x) * 100 <= NOISY).alias("keep"), F.count(x).alias("n"))
+    by = [by] if isinstance(by, str) else by
+    rank = lambda q: lambda at: at(F.greatest(F.ceil(F.col("_n") * q) - 1, F.lit(0)))
+    found = _spread(rows, by, value, {"p50": rank(0.5), "p90": rank(0.9)})
+    return found.select(*by, "p50", "p90", (F.col("cv_pct") <= NOISY).alias("keep"), "n")
 
 
 def paired(now: DataFrame, baseline: DataFrame) -> DataFrame:

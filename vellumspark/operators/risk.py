@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import running
+from .tables import running, settled
 
 ALPHA, EVT_Q, POT = 0.10, 0.999, 0.15
 MIN_EXCEED = 8
@@ -20,20 +20,14 @@ def checked(samples: DataFrame, value: str) -> DataFrame:
 
 
 def histogram(samples: DataFrame, value: str) -> DataFrame:
-    """(x, c): one row a distinct value; all later sums run over these only."""
-    return checked(samples, value).groupBy("x").agg(F.count("*").alias("c"))
-
-
-def ranked(hist: DataFrame, order: Column | str, name: str) -> DataFrame:
-    """The histogram with the number of samples up to each value, and of all (n)."""
-    total = hist.agg(F.sum("c").alias("n"))
-    return running(hist, order, "c", name).join(F.broadcast(total))
+    """(x, c, upto, n): one row a distinct value with its count, the samples up to it and
+    all samples. Counted and ranked once; every measure below only reads these rows."""
+    hist = settled(checked(samples, value).groupBy("x").agg(F.count("*").alias("c")))
+    return settled(running(hist, "x", "c", "upto").join(F.broadcast(hist.agg(F.sum("c").alias("n")))))
 
 
 def quantiles(hist: DataFrame, qs: dict[str, float]) -> DataFrame:
     """One row of type-7 quantiles by name, from the histogram."""
-    run = ranked(hist, "x", "upto")
-
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("x")))
 
@@ -42,12 +36,12 @@ def quantiles(hist: DataFrame, qs: dict[str, float]) -> DataFrame:
         h = (F.col("n") - 1) * F.lit(q)
         low, high = at(F.floor(h)), at(F.ceil(h))
         cols.append((low + F.max(h - F.floor(h)) * (high - low)).alias(name))
-    return run.agg(*cols, F.max("n").alias("n"))
+    return hist.agg(*cols, F.max("n").alias("n"))
 
 
 def cvar(hist: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(cvar): mean of the worst ``alpha`` of all samples, the last one in part."""
-    run = ranked(hist, F.desc("x"), "upto").withColumn("before", F.col("upto") - F.col("c"))
+    run = hist.withColumn("before", F.col("n") - F.col("upto"))
     size = F.lit(alpha) * F.col("n")
     taken = F.greatest(F.lit(0.0), F.least(F.col("c").cast("double"), size - F.col("before")))
     single = F.max(size) < 1  # under one sample: the worst one itself
@@ -58,8 +52,9 @@ def pareto(hist: DataFrame, pot: float = POT) -> DataFrame:
     """One row (threshold, shape, scale, m, n): a generalised Pareto tail by probability
     weighted moments; shape and scale are null where the fit falls back."""
     q = quantiles(hist, {"u": 1 - pot})
-    over = hist.join(F.broadcast(q), F.col("x") > F.col("u")).select((F.col("x") - F.col("u")).alias("y"), "c")
-    run = ranked(over, "y", "upto").select("y", *[F.col(a).cast("double").alias(b) for a, b in (("c", "c"), ("upto", "upto"), ("n", "m"))])
+    under = hist.join(F.broadcast(q.select("u")), F.col("x") <= F.col("u")).agg(F.coalesce(F.max("upto"), F.lit(0)).alias("under"))
+    over = hist.join(F.broadcast(q.select("u")), F.col("x") > F.col("u")).join(F.broadcast(under))
+    run = over.select((F.col("x") - F.col("u")).alias("y"), F.col("c").cast("double").alias("c"), (F.col("upto") - F.col("under")).cast("double").alias("upto"), (F.col("n") - F.col("under")).cast("double").alias("m"))
     # copies of a value have ranks upto - c + 1 to upto; their mean rank is enough
     rank = F.col("upto") - (F.col("c") - 1) / 2
     sums = run.agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("m"), (F.sum(F.col("y") * F.col("c")) / F.max("m")).alias("a0"), (F.sum((1 - (rank - 0.35) / F.col("m")) * F.col("y") * F.col("c")) / F.max("m")).alias("a1"))

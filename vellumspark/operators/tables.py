@@ -52,3 +52,16 @@ def running(df: DataFrame, order: Column | str, amount: str, name: str) -> DataF
     before = sums.select(F.col("_p").alias("_q"), (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_b"))  # one row a partition
     inside = F.sum(amount).over(Window.partitionBy("_p").orderBy("_m"))
     return spread.withColumn(name, inside).join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(name, F.col(name) + F.col("_b")).drop("_p", "_m", "_q", "_b")
+
+
+def ranked(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, c) -> with upto, the count up to a value within its group, and _n, that of
+    the group: one running sum by ranges over all groups, less what comes before a group's
+    first value."""
+    place = F.struct(*by, value)
+    run = settled(running(settled(counts), place, "c", "_upto"))
+    first = run.groupBy(*by).agg(F.min(F.col("_upto") - F.col("c")).alias("_first"), F.sum("c").alias("_n"))
+    names = {c: f"_by_{i}" for i, c in enumerate(by)}
+    start = first.select(*[F.col(c).alias(n) for c, n in names.items()], "_first", "_n")
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return run.join(start, same).withColumn("upto", F.col("_upto") - F.col("_first")).drop(*names.values(), "_upto", "_first")

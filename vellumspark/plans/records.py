@@ -109,10 +109,41 @@ def a20_priced_choice(spark, sf):
     return allocation.choose(_curves(spark, sf), "tensor", 0.3).select("tensor", "rate")
 
 
-@query()
+def _filled_sql(budget: int) -> str:
+    """Steps in slope order, one at a time: each is taken if it fits and its tensor goes on."""
+    return f"""WITH RECURSIVE p AS (SELECT tensor, r, d, row_number() OVER (PARTITION BY tensor ORDER BY r) - 1 AS step, count(*) OVER (PARTITION BY tensor) - 1 AS steps, r - lag(r) OVER (PARTITION BY tensor ORDER BY r) AS added, lag(d) OVER (PARTITION BY tensor ORDER BY r) - d AS dropped FROM ({HULL})),
+e AS (SELECT *, row_number() OVER (ORDER BY dropped / added DESC, tensor, step) AS k FROM p WHERE step > 0),
+walk AS (SELECT 0::BIGINT AS k, (SELECT sum(r) FROM p WHERE step = 0) AS used, []::VARCHAR[] AS stopped, false AS took
+    UNION ALL SELECT e.k, CASE WHEN used + added <= {budget} AND NOT list_contains(stopped, tensor) THEN used + added ELSE used END, CASE WHEN used + added <= {budget} THEN stopped ELSE list_append(stopped, tensor) END, used + added <= {budget} AND NOT list_contains(stopped, tensor) FROM walk JOIN e ON e.k = walk.k + 1),
+reached AS (SELECT tensor, max(step) AS step FROM walk JOIN e USING (k) WHERE took GROUP BY tensor),
+filled AS (SELECT p.tensor, p.step, p.steps, p.r AS rate, p.d AS distortion FROM p LEFT JOIN reached USING (tensor) WHERE p.step = coalesce(reached.step, 0)),
+c AS (SELECT p_brand AS tensor, p_size::DOUBLE AS rate, min(p_retailprice / 100) AS d FROM part GROUP BY 1, 2)"""
+
+
+@query(f"{_filled_sql(200)} SELECT tensor, step::INT AS step, steps::INT AS steps, rate, round(distortion, 6) AS distortion FROM filled")
 def a21_waterfill(spark, sf):
-    """Iterative; tests check the budget and compare totals with the exact table."""
-    return allocation.waterfill(_curves(spark, sf), budget=200.0)
+    filled = allocation.waterfill(_curves(spark, sf), budget=200)
+    return filled.select("tensor", "step", "steps", "rate", F.round("distortion", 6).alias("distortion"))
+
+
+@query(f"""{_filled_sql(200)} SELECT tensor, rate, round(distortion, 6) AS distortion, CASE WHEN step = 0 THEN 'flat: starved to cheapest' WHEN step = steps THEN 'steep: upgraded to highest available precision' ELSE 'interior: upgraded one or more hull steps' END AS reason, 'lagrangian-waterfill' AS method, NULL::VARCHAR AS fallback
+FROM filled WHERE (SELECT sum(distortion) FROM filled) <= (SELECT max_by(d, struct_pack(a := r, b := t)) FROM (SELECT t, sum(r) AS r, sum(d) AS d FROM (SELECT o.rate AS t, c.tensor, coalesce(min(c.rate) FILTER (c.rate >= o.rate), min(c.rate)) AS r, coalesce(min_by(c.d, c.rate) FILTER (c.rate >= o.rate), min_by(c.d, c.rate)) AS d FROM c, (SELECT DISTINCT rate FROM c) o GROUP BY 1, 2) GROUP BY t) WHERE r <= 200) + 1e-12""")
+def a23_allocated(spark, sf):
+    return allocation.allocated(_curves(spark, sf), 200, 10).withColumn("distortion", F.round("distortion", 6))
+
+
+@query("""WITH c AS (SELECT p_brand AS tensor, p_size::DOUBLE AS rate, min(p_retailprice / 100) AS d FROM part GROUP BY 1, 2)
+SELECT tensor, coalesce(min(rate) FILTER (rate >= 10), min(rate)) AS rate, round(coalesce(min_by(d, rate) FILTER (rate >= 10), min_by(d, rate)), 6) AS distortion, 'uniform' AS reason, 'uniform-10' AS method, 'optimizer error: the budget is below the cheapest allocation' AS fallback FROM c GROUP BY tensor""")
+def a23_infeasible(spark, sf):
+    """A budget that no allocation meets falls back to the uniform one, and says why."""
+    return allocation.allocated(_curves(spark, sf), 1, 10).withColumn("distortion", F.round("distortion", 6))
+
+
+@query("""WITH c AS (SELECT p_brand AS tensor, p_size::DOUBLE AS rate, min(p_retailprice / 100) AS d FROM part GROUP BY 1, 2),
+u AS (SELECT t, sum(r) AS r, sum(d) AS d FROM (SELECT o.rate AS t, c.tensor, coalesce(min(c.rate) FILTER (c.rate >= o.rate), min(c.rate)) AS r, coalesce(min_by(c.d, c.rate) FILTER (c.rate >= o.rate), min_by(c.d, c.rate)) AS d FROM c, (SELECT DISTINCT rate FROM c) o GROUP BY 1, 2) GROUP BY t)
+SELECT t AS target, r AS rate, round(d, 6) AS distortion FROM u WHERE r <= 400 ORDER BY r DESC, t DESC LIMIT 1""")
+def a23_uniform_within(spark, sf):
+    return allocation.uniform_within(_curves(spark, sf), 400).withColumn("distortion", F.round("distortion", 6))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumspark.operators import gates, risk, scaling, sequential
+from vellumspark.operators.exact_sums import exact_sums
 
 from .base import query, read
 
@@ -34,6 +35,13 @@ def a09_quantile(spark, sf):
     return mean.join(F.broadcast(risk.quantiles(hist, {"var": 0.9}))).select(F.round("mean", 9).alias("mean"), F.round("var", 9).alias("var"))
 
 
+@query("SELECT l_returnflag, l_linestatus, round(fsum(l_extendedprice * (1 - l_discount)), 3) AS total, round(favg(l_extendedprice * (1 - l_discount)), 7) AS mean, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def a08_exact_mean(spark, sf):
+    """Means that don't depend on the order of the rows; tests compare bits."""
+    rows = read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x"))
+    return exact_sums(rows, ["l_returnflag", "l_linestatus"], "x").withColumns({"total": F.round("total", 3), "mean": F.round("mean", 7)})
+
+
 @query(f"{TAIL} SELECT round(sum(x * least(1, greatest(0, 0.1 * n - (rn - 1)))) / max(0.1 * n), 9) AS cvar FROM s")
 def a10_cvar(spark, sf):
     return risk.cvar(risk.histogram(_discounts(spark, sf), "x")).select(F.round("cvar", 9).alias("cvar"))
