@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merging import merge_linked
+
 #: How the public rank files cut text before merging (fixed pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -34,15 +36,7 @@ def merge(piece: bytes, known: dict[bytes, int]) -> list[bytes]:
     leftmost of equals, until no pair is known."""
     if piece in known:
         return [piece]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        pairs = [known.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        best = min((r for r in pairs if r is not None), default=None)
-        if best is None:
-            break
-        at = pairs.index(best)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+    return merge_linked([piece[i : i + 1] for i in range(len(piece))], lambda a, b: known.get(a + b))
 
 
 def encode(texts: DataFrame, path: str, key: list[str], text: str = "text", added: dict[str, int] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumspark.functions import bpe
+from vellumspark.functions import bpe, tokenizer
 from vellumspark.operators import grid
 
 from .base import query, read
@@ -47,6 +47,49 @@ def x17_added_tokens(spark, sf):
     return back.select(*key, F.md5("text").alias("h")).join(ids.select(*key, count("<|stop|>").alias("stops"), count("<|stop|>!").alias("longer")), key)
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: Two tokens beside the file's own: a special one and one that stays in decoded text.
+MORE = (("<|begin|>", 60000, True), ("<|box|>", 60001, False))
+
+
+@query()
+def x10_pieces(spark, sf):
+    """All four stages; the word stage looks ahead, so tests compare with the regex module."""
+    pieces = tokenizer.cut(F.col("text"), {})
+    return read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.size(pieces).alias("n"), F.md5(F.array_join(F.transform(pieces, lambda p: p["piece"]), " ")).alias("h"))
+
+
+@query()
+def x16_token_ids(spark, sf):
+    """Merging is iterative; tests compare the ids with the public library's."""
+    ids = tokenizer.encode(read(spark, sf, "documents"), _tokenizer(), ["doc_id"])
+    return ids.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("h"))
+
+
+@query("SELECT doc_id, md5('<|begin|>' || text || '<|box|>' || text || '<|endoftext|>') AS h FROM documents WHERE text IS NOT NULL")
+def x18_decoded(spark, sf):
+    rows = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("<|begin|>"), "text", F.lit("<|box|>"), "text", F.lit("<|endoftext|>")).alias("text"))
+    ids = tokenizer.encode(rows, _tokenizer(), ["doc_id"], more=MORE)
+    return tokenizer.decode(ids, _tokenizer(), ["doc_id"], more=MORE).select("doc_id", F.md5("text").alias("h"))
+
+
+@query("SELECT doc_id, md5(text || '<|box|>' || text) AS h, 60000 AS first, 50256 AS last FROM documents WHERE text IS NOT NULL")
+def u02_skip_special(spark, sf):
+    """Special tokens don't come back; their ids are those that the file and caller name."""
+    own = tokenizer.vocabulary(_tokenizer(), MORE)
+    bos, eos = own.token_to_id("<|begin|>"), own.token_to_id("<|endoftext|>")
+    rows = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", F.lit("<|box|>"), "text").alias("text"))
+    ids = tokenizer.encode(rows, _tokenizer(), ["doc_id"], more=MORE)
+    framed = ids.select("doc_id", F.concat(F.array(F.lit(bos)), "ids", F.array(F.lit(eos))).alias("ids"))
+    back = tokenizer.decode(framed, _tokenizer(), ["doc_id"], skip_special=True, more=MORE)
+    return back.select("doc_id", F.md5("text").alias("h")).join(framed.select("doc_id", F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last")), "doc_id")
+
+
 GRID = "SELECT vec_id // 256 AS image, (vec_id % 256 // 16)::INTEGER AS y, (vec_id % 16)::INTEGER AS x, embedding[1]::DOUBLE AS v FROM embeddings"
 
 
