@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import WORD, free_name, kept
+from .common import WORD, forget, free_name, kept, stored
 from .components import connected_components
 from .groups import Groups
 
@@ -157,22 +157,25 @@ def enough(both: Column | np.ndarray, total: Column | np.ndarray) -> Column | np
     return (PART + WHOLE) * both >= PART * total
 
 
-def posted(texts: DataFrame) -> DataFrame:
+def posted(texts: DataFrame, done: list[str] | None = None) -> DataFrame:
     """(key, text) -> (s, key, n, cell) of every posted shingle that two texts post.
 
     The smallest key that posts a shingle leads it, and a text's star is the smallest key
-    that leads one of its shingles. A cell is a part of bounded size of a star.
+    that leads one of its shingles. A cell is a part of bounded size of a star. ``done``
+    gets the tables that nothing reads once the result is written.
     """
     same = Window.partitionBy("s")
     several = _posts(texts, _often(texts)).withColumns({"lo": F.min("key").over(same), "hi": F.max("key").over(same)}).where("lo < hi")
-    met = kept(several.select("s", "key", "n", "lo").distinct(), "met")
-    members = kept(met.groupBy("key").agg(F.min("lo").alias("star"), F.first("n").alias("n")), "members")
+    met, met_path = stored(several.select("s", "key", "n", "lo").distinct(), "met")
+    members, members_path = stored(met.groupBy("key").agg(F.min("lo").alias("star"), F.first("n").alias("n")), "members")
+    if done is not None:
+        done += [met_path, members_path]
     sizes = members.groupBy("star").agg(F.ceil(F.greatest(F.count("*") / CELL_TEXTS, F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
     cells = members.join(sizes, "star").select("key", F.xxhash64("star", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("cell"))
     return met.join(cells, "key").select("s", "key", "n", "cell")
 
 
-def roles(met: DataFrame) -> DataFrame:
+def roles(met: DataFrame, done: list[str] | None = None) -> DataFrame:
     """posted() -> (key, roles): of every text the comparisons (pair, side) that it is in.
 
     A comparison is of the texts of two cells, or one, that post the same shingles and
@@ -182,7 +185,9 @@ def roles(met: DataFrame) -> DataFrame:
     posts fewer shingles of the other cell is like none of it.
     """
     fit = lambda a, b: (WHOLE * F.col(f"{a}_most") >= PART * F.col(f"{b}_least")) & (WHOLE * F.col(f"{b}_most") >= PART * F.col(f"{a}_least"))
-    at = kept(met.groupBy("s", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k")), "cells")
+    at, at_path = stored(met.groupBy("s", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k")), "cells")
+    if done is not None:
+        done.append(at_path)
     x, y = (at.select("s", *[F.col(c).alias(f"{side}_{c}") for c in ("cell", "least", "most", "k")]) for side in "ab")
     meet = x.join(y, "s").where(((F.col("a_cell") < F.col("b_cell")) | (F.col("a_cell") == F.col("b_cell")) & (F.col("a_k") > 1)) & fit("a", "b"))
     pair = F.xxhash64("a_cell", "b_cell").alias("pair")
@@ -258,7 +263,14 @@ def _compared(rows: DataFrame) -> DataFrame:
 def links(texts: DataFrame) -> DataFrame:
     """(key, text), no text blank -> (a, b): keys of texts whose shingles have Jaccard
     similarity PART / WHOLE or more, enough of them to connect all that link."""
-    asked = kept(roles(kept(posted(texts), "posted")), "asked")
+    spark, done = texts.sparkSession, []
+    posts, path = stored(posted(texts, done), "posted")
+    for old in done:
+        forget(spark, old)
+    done = [path]
+    asked = kept(roles(posts, done), "asked")
+    for old in done:
+        forget(spark, old)
     few = asked.agg(F.coalesce(F.sum(F.size("roles") + 2), F.lit(0))).first()[0] <= BROADCAST_ROLES
     own = _shingled(texts.join(F.broadcast(asked) if few else asked, "key").select("key", "text", "roles"))
     rows = own.select("key", "own", F.explode("roles").alias("r")).select("r.pair", "r.side", "key", "own")
