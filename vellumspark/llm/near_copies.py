@@ -322,7 +322,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
     prints = kept(rows.groupBy("doc_id", "key").agg(F.count("*").alias("rows")), "prints")
     texts = rows.where("key <> 0").select("key", "text")
-    found = connected_components(links(texts).unionByName(fingerprint_links(texts)))
+    # one after the other: tasks of both at once would share an executor's memory
+    near = [kept(way(texts), "links") for way in (fingerprint_links, links)]
+    found = connected_components(near[0].unionByName(near[1]))
     groups = prints.join(found, prints["key"] == found["node"], "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.key").alias("key"))
     same = lambda a, b: (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
