@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import WORD, forget, free_name, kept, stored
+from .common import WORD, forget, free_name, kept, stored, trimmed
 from .components import connected_components
 from .groups import Groups
 
@@ -106,7 +106,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                     part = own[at : at + ROWS]
                     yield pa.record_batch([pa.array(np.full(len(part), key)), pa.array(part)], names=["key", "s"])
 
-    return texts.mapInArrow(batches, "key long, s long")
+    return texts.mapInArrow(lambda it: trimmed(batches(it)), "key long, s long")
 
 
 def _posts(texts: DataFrame, often: dict[int, int]) -> DataFrame:
@@ -143,7 +143,7 @@ def _posts(texts: DataFrame, often: dict[int, int]) -> DataFrame:
             if parts:
                 yield out()
 
-    return texts.mapInArrow(batches, "s long, key long, n long, at long")
+    return texts.mapInArrow(lambda it: trimmed(batches(it)), "s long, key long, n long, at long")
 
 
 def _often(texts: DataFrame) -> dict[int, int]:
@@ -257,7 +257,7 @@ def _compared(rows: DataFrame) -> DataFrame:
         if ready():
             yield out()
 
-    return rows.mapInArrow(batches, "a long, b long")
+    return rows.mapInArrow(lambda it: trimmed(batches(it)), "a long, b long")
 
 
 def links(texts: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
             if fresh:
                 yield out()
 
-    return texts.mapInArrow(batches, "key long, own binary, roles array<struct<pair:long,side:int>>")
+    return texts.mapInArrow(lambda it: trimmed(batches(it)), "key long, own binary, roles array<struct<pair:long,side:int>>")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -312,7 +312,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: trimmed(batches(it)), SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

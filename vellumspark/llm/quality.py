@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, trimmed
 
 #: Documents with labels, and without, that fitting uses at most.
 LABELLED, POOL = 12_000, 12_000
@@ -217,7 +217,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
             yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(data, pa.binary())], names=["doc_id", "y", "data"])
 
     rows = _rows(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "source", "lang", "n_chars", F.col("y").cast("double"))
-    once = rows.mapInArrow(batches, "doc_id long, y double, data binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("data").alias("data"))
+    once = rows.mapInArrow(lambda it: trimmed(batches(it)), "doc_id long, y double, data binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("data").alias("data"))
     got = sorted(((r.doc_id, bytes(r.data), r.y) for r in once.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     x = np.frombuffer(b"".join(r[1] for r in got), "<f4").reshape(-1, TEXT_FEATURES + META_FEATURES).astype(float)
     y = np.array([np.nan if r[2] is None else float(r[2] > 0) for r in got])
@@ -276,4 +276,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, labelled:
                 read = pa.record_batch([b.column(new) for new in own.values()], names=list(own))
                 yield b.filter(pa.array(model.scores(*_matrices(view, read))[0] >= keep))
 
-    return rows.mapInArrow(batches, rows.schema).select(*docs.columns)
+    return rows.mapInArrow(lambda it: trimmed(batches(it)), rows.schema).select(*docs.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, kept
+from .common import free_name, kept, trimmed
 from .components import connected_components
 from .groups import Groups
 
@@ -30,8 +30,8 @@ SHINGLE, SEED, BUDGET = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
 #: Shingles whose bits are unpacked at once; bounds memory on very long texts.
 CHUNK = 1 << 16
-#: Fingerprints of a key that meet in one block, and differences held at once.
-CELL, MATRIX = 4096, 1 << 21
+#: Fingerprints of a key that meet in one block, differences and links held at once.
+CELL, MATRIX, FOREST = 4096, 1 << 18, 1 << 20
 #: Ids of dropped documents that are sent to all tasks; beyond it they are joined.
 BROADCAST_IDS = 200_000
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = [fingerprint(t.as_py(), shingle) for t in texts]
             yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: trimmed(batches(it)), "doc_id long, fp long")
 
 
 def segments(fp: Column) -> list[Column]:
@@ -184,7 +184,7 @@ def _linked(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
             if len(moved):
                 held_back.append(rows[1][np.stack([moved, groups.root[moved]])])
                 held_links += len(moved)
-            if held_links > MATRIX:
+            if held_links > FOREST:
                 yield forest()
                 held_links = 0
     if held_back:
@@ -218,7 +218,7 @@ def connecting_links(prints: DataFrame, budget: int = BUDGET, cell: int = CELL)
         rows = apart.select("start", "key", "fp", "rep", F.explode(blocks).alias("s")).select("start", "key", "s.probing", "fp", "rep", "s.block")
     order = ["start", "key", "block", "probing"]
     dealt = rows.select(*order, "fp", "rep").repartition("start", "key", "block").sortWithinPartitions(*order)
-    return dealt.mapInArrow(lambda it: _linked(it, budget), "a long, b long")
+    return dealt.mapInArrow(lambda it: trimmed(_linked(it, budget)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
