@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 WINDOW, END_ID = 2048, 1
 END = END_ID.to_bytes(4, "little")
 #: Words whose ids a worker remembers in each of two generations; longer ones in bytes
