@@ -26,7 +26,7 @@ WINDOW, END_ID = 2048, 1
 END = END_ID.to_bytes(4, "little")
 #: Words whose ids a worker remembers in each of two generations; longer ones in bytes
 #: are encoded each time.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Bytes of text that are looked up together.
 TOGETHER = 2 << 20
 #: Bytes of ids in a batch that is handed on.
