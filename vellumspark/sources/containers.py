@@ -97,11 +97,12 @@ def decode(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(data, KINDS[dtype]).astype("<f4")
 
 
-def encoded(values: list[float], dtype: str) -> bytes:
-    """What decode widens, narrowed again."""
+def encoded(values: list[float] | list[int], dtype: str) -> bytes:
+    """What decode widens, narrowed again; whole numbers don't pass through floats."""
     if dtype == "BF16":
         return (np.asarray(values, "<f4").view("<u4") >> 16).astype("<u2").tobytes()
-    return np.asarray(values, float).astype(KINDS[dtype]).tobytes()
+    given = np.asarray(values)
+    return (given if given.dtype.kind in "iu" else given.astype(float)).astype(KINDS[dtype]).tobytes()
 
 
 def _laid(tensors: list[tuple[str, str, list[int], bytes]], align: int) -> tuple[list[tuple[str, str, list[int], int, int]], bytes]:
