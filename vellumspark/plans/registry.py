@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attended, batches, checks, containers, documents, domains, figured, fixtures, ledgers, paged, records, resampled, stats, texts, tokens, vectors  # noqa: F401
+from . import attended, batches, checks, containers, documents, domains, figured, fixtures, governed, ledgers, paged, records, resampled, stats, texts, tokens, vectors  # noqa: F401
 from .base import QUERIES, SQL, Query
 
 
