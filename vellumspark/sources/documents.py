@@ -38,10 +38,13 @@ def allocation_json(rows: DataFrame, key: str, budget: int) -> DataFrame:
     def number(x: Column, places: int) -> Column:
         return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.round(x, places))
 
-    each = F.struct(F.col("tensor"), F.col("rate").cast("double").alias("rate"), F.col("distortion").cast("double").alias("distortion"), F.col("marginal").cast("double").alias("marginal"), F.col("reason"))
+    @F.pandas_udf("double")
+    def digits(v: pd.Series) -> pd.Series:  # Spark's own formats round ties of the shortest decimal, not of the value
+        return v.map(lambda x: float(f"{x:.6e}"))
+
+    each = F.struct(F.col("tensor"), F.col("rate").cast("double").alias("rate"), F.col("distortion").cast("double").alias("distortion"), digits(F.col("marginal").cast("double")).alias("marginal"), F.col("reason"))
     held = rows.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("a"), F.sum("rate").alias("r"), F.sum("distortion").alias("d"))
-    sci = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.format_string("%.6e", x).cast("double"))
-    listed = F.transform("a", lambda x: F.struct(number(x["rate"], 4).alias("bits"), number(x["distortion"], 9).alias("distortion"), sci(x["marginal"]).alias("marginal"), x["reason"].alias("reason"), x["tensor"].alias("tensor")))
+    listed = F.transform("a", lambda x: F.struct(number(x["rate"], 4).alias("bits"), number(x["distortion"], 9).alias("distortion"), F.when(~F.isnan(x["marginal"]) & (F.abs(x["marginal"]) < float("inf")), x["marginal"]).alias("marginal"), x["reason"].alias("reason"), x["tensor"].alias("tensor")))
     totals = F.struct(number(F.col("d").cast("double"), 6).alias("distortion"), number(F.col("r").cast("double"), 4).alias("bits"), (F.col("r") <= budget).alias("within"))
     body = F.struct(F.lit(budget).alias("budget"), F.size("a").alias("n_tensors"), F.lit(SCHEMA_VERSION).alias("schema_version"), totals.alias("totals"), listed.alias("allocation"))
     return held.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
