@@ -143,3 +143,15 @@ def test_lists_of_few_vectors_are_not_enough(spark):
     rows = [(i, (rng.normal(size=4) * 1e-3 + (50 * (i % 40) if i % 3 else 0)).tolist()) for i in range(400)]
     got = ann.search(frame(spark, rows)).collect()
     assert len(got) == len(brute_nearest(rows, 100)) == 40
+
+
+def test_codes_that_tell_nothing_lose_no_neighbour(spark, monkeypatch):
+    """Scales over orders of magnitude: one list holds most vectors, whose codes are the
+    same; its nearest are still found."""
+    monkeypatch.setattr(ann, "LISTS", 0.02)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 64)) * np.exp(3 * rng.normal(size=4000))[:, None]
+    rows = list(enumerate(x.tolist()))
+    want = {(q, i) for q, _, i, _ in brute_nearest(rows, 100)}
+    got = {(r.query_id, r.vec_id) for r in ann.search(frame(spark, rows)).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)

@@ -3,12 +3,13 @@ reranking.
 
 Coarse centroids and the codebooks of residuals are learnt from a bounded sample; every
 vector is indexed. A query visits the lists of its nearest centroids: as many as the
-sample's own nearest rows need, more if these hold too few vectors, and if it lies
-farther from all centroids than the sample does, all within two residuals of the nearest.
-A list is dealt
-into blocks of bounded size, so a crowded list is many tasks; each block ranks its
-vectors for its queries by asymmetric distance tables, reranks the best exactly and
-returns as many as are asked for, so the shares of all blocks hold the best of all.
+nearest rows of the sample and of a sample of the queries need, more if these hold too
+few vectors, and if it lies farther from all centroids than the sample does, all within
+two residuals of the nearest. A list is dealt into blocks of bounded size, so a crowded
+list is many tasks; each block ranks its vectors for its queries by asymmetric distance
+tables, reranks the best exactly, then every other vector that its code's own error
+leaves a chance, and returns as many as are asked for, so the shares of all blocks hold
+the best of all.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ USUAL = 0.95
 #: Distances that are computed at once, and queries of a list that meet one of its blocks.
 CELLS, QUERIES = 1 << 22, 20_000
 #: Of the sample's true nearest, the share that lies in the lists a query visits; sample
-#: rows that are asked for it; lists that are visited at least.
+#: rows, and queries, that are asked for it; lists that are visited at least.
 REACHED, ASKED, LEAST_PROBES = 0.97, 256, 8
-#: Parts of a residual, codes of a part, vectors of a block, exact distances of a block.
+#: Parts of a residual, codes of a part, vectors of a block, first exact distances of a block.
 PARTS, CODES, BLOCK, RERANK = 16, 64, 4096, 150
 
 
@@ -71,22 +72,27 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and codebooks for one dimension."""
+    """Coarse centroids and codebooks for one dimension; ``queries`` are a sample of them
+    (rows of both by id)."""
 
-    def __init__(self, sample: np.ndarray, total: int):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, total: int, query_ids: np.ndarray, queries: np.ndarray):
         self.centroids = kmeans(sample, max(1, int(LISTS * np.sqrt(total))))
         own, far = nearest(sample, self.centroids)
         rest = sample - self.centroids[own]
         self.usual = float(np.sqrt(np.quantile(far, USUAL))) if len(far) else 0.0
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(rest[:, i:j], CODES, 6) for i, j in zip(self.cuts, self.cuts[1:], strict=False)]
-        self.probes = min(len(self.centroids), max(LEAST_PROBES, self._needed(sample, own)))
+        self.probes = min(len(self.centroids), LEAST_PROBES)
+        some = np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int)
+        for asked, ask in ((ids[some], sample[some]), (query_ids, queries)):
+            self.probes = min(len(self.centroids), max(self.probes, self._needed(ids, sample, own, asked, ask)))
 
-    def _needed(self, sample: np.ndarray, own: np.ndarray) -> int:
-        """Lists to visit, from the sample's own nearest rows. Of all vectors the nearest
+    def _needed(self, ids: np.ndarray, sample: np.ndarray, own: np.ndarray, asked: np.ndarray, ask: np.ndarray) -> int:
+        """Lists to visit, from the nearest rows of the sample. Of all vectors the nearest
         are nearer still, so that they lie in the first lists rather more often."""
-        ask = sample[np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int)]
-        near = np.argsort(squared(ask, sample), axis=1, kind="stable")[:, 1 : TOP + 1]
+        d = squared(ask, sample)
+        d[asked[:, None] == ids[None]] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, : min(TOP, len(sample) - 1)]
         place = np.argsort(np.argsort(squared(ask, self.centroids), axis=1, kind="stable"), axis=1)
         ranks = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
         return int(ranks[int(np.ceil(REACHED * len(ranks))) - 1]) + 1 if len(ranks) else 1
@@ -108,6 +114,40 @@ class Index:
         most = np.maximum(self.probes, np.maximum(held, near))
         return [row[:k][sizes[row[:k]] > 0] for row, k in zip(order, most.tolist(), strict=True)]
 
+    def errors(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Distances of vectors of a list from what their codes stand for."""
+        return np.sqrt(((x - self.centroids[cell] - np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)) ** 2).sum(axis=1))
+
+    def nearest_of(self, q: np.ndarray, own: np.ndarray, cell: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each query's ``top`` nearest of a block of a list, as ids and distances; ``own``
+        are the queries' ids. A vector is as near as its code but for its code's error, so
+        those that may be among the nearest are all measured."""
+        guess = self.estimates(q, cell, codes)
+        mine = own[:, None] == ids[None]
+        guess[mine] = np.inf
+        errors = self.errors(x, cell, codes)
+        first = min(len(x), RERANK + 1)
+        best = np.argpartition(guess, first - 1, axis=1)[:, :first]
+        d = ((x[best] - q[:, None]) ** 2).sum(axis=2)
+        d[np.take_along_axis(mine, best, axis=1)] = np.inf
+        bound = np.sqrt(np.partition(d, top - 1, axis=1)[:, top - 1]) if first >= top else np.full(len(q), np.inf)
+        slack = 1e-6 * (np.sqrt(((q - self.centroids[cell]) ** 2).sum(axis=1))[:, None] + errors[None])
+        chance = ~mine & (np.sqrt(guess) <= bound[:, None] + errors[None] + slack)
+        some = np.flatnonzero(chance.any(axis=0))
+        got = []
+        if not len(some):
+            return [(ids[:0], np.zeros(0))] * len(q)
+        rest, x, ids = q - self.centroids[cell], x[some], ids[some]
+        near = np.where(chance[:, some], squared(rest, x - self.centroids[cell]), np.inf)
+        size = (rest**2).sum(axis=1) + ((x - self.centroids[cell]) ** 2).sum(axis=1).max()
+        for i in range(len(q)):
+            last = np.partition(near[i], top - 1)[top - 1] if len(some) > top else np.inf
+            left = np.flatnonzero((near[i] <= last + 1e-11 * size[i]) & np.isfinite(near[i]))
+            d = np.sqrt(((x[left] - q[i]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[left], d))[:top]
+            got.append((ids[left][order], d[order]))
+        return got
+
     def estimates(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to coded vectors of a list: table lookups."""
         rest = q - self.centroids[cell]
@@ -144,8 +184,14 @@ def search(vectors: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
 
 def _dimension(rows: DataFrame, total: int, every: int, top: int) -> DataFrame:
     spark = rows.sparkSession
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toLocalIterator()])
-    index = Index(sample, total)
+
+    def some(of: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        taken = list(of.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).toLocalIterator())
+        return np.array([r.vec_id for r in taken], np.int64), np.array([r.v for r in taken])
+
+    ids, sample = some(rows, SAMPLE)
+    query_ids, queries = some(rows.where(F.col("vec_id") % every == 0), ASKED)
+    index = Index(ids, sample, total, query_ids, queries.reshape(-1, sample.shape[1]))
     shared = spark.sparkContext.broadcast(index)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,17 +230,12 @@ def _dimension(rows: DataFrame, total: int, every: int, top: int) -> DataFrame:
         block = block.sort_values("vec_id", kind="stable")
         ids, x, codes = block["vec_id"].to_numpy(), _unpack(block["x"], float), _unpack(block["code"], np.uint8)
         got = []
-        for at in range(0, len(ask), 256):
-            part = ask.iloc[at : at + 256]
+        for at in range(0, len(ask), 128):
+            part = ask.iloc[at : at + 128]
             q = _unpack(part["q"], float)
-            guess = shared.value.estimates(q, int(key[0]), codes)
-            for i, query in enumerate(part["query_id"].to_numpy()):
-                guess[i, ids == query] = np.inf
-                best = np.argsort(guess[i], kind="stable")[: RERANK + 1]
-                best = best[np.isfinite(guess[i, best])]
-                d = np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1))
-                first = np.lexsort((ids[best], d))[:top]
-                got.append((np.full(len(first), query), ids[best][first], d[first]))
+            own = part["query_id"].to_numpy()
+            for query, (found, d) in zip(own, shared.value.nearest_of(q, own, int(key[0]), ids, x, codes, top), strict=True):
+                got.append((np.full(len(found), query), found, d))
         q, v, d = (np.concatenate(c) for c in zip(*got, strict=True))
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": d})
 
