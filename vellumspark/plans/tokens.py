@@ -60,8 +60,8 @@ MORE = (("<|begin|>", 60000, True), ("<|box|>", 60001, False))
 @query()
 def x10_pieces(spark, sf):
     """All four stages; the word stage looks ahead, so tests compare with the regex module."""
-    pieces = tokenizer.cut(F.col("text"), {})
-    return read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.size(pieces).alias("n"), F.md5(F.array_join(F.transform(pieces, lambda p: p["piece"]), " ")).alias("h"))
+    rows = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.transform(tokenizer.cut(F.col("text"), {}), lambda p: p["piece"]).alias("pieces"))
+    return rows.select("doc_id", F.size("pieces").alias("n"), F.md5(F.array_join("pieces", " ")).alias("h"))
 
 
 @query()
