@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_rows
 from .merging import merge_linked
 
 #: How the public rank files cut text before merging (fixed pattern).
@@ -62,9 +63,7 @@ def encode(texts: DataFrame, path: str, key: list[str], text: str = "text", adde
                 at = m.end()
             yield from (i for p in cut.findall(t[at:]) for i in ids(p))
 
-        for b in it:
-            rows = [None if t is None else list(all_ids(t)) for t in b.column(len(key)).to_pylist()]
-            yield pa.record_batch([*b.columns[: len(key)], pa.array(rows, pa.list_(pa.int32()))], names=[*key, "ids"])
+        return by_rows(it, key, "ids", pa.list_(pa.int32()), lambda t: list(all_ids(t)))
 
     return texts.select(*key, F.col(text).cast("string")).mapInArrow(batches, schema)
 
@@ -77,8 +76,6 @@ def decode(rows: DataFrame, path: str, key: list[str], strict: bool = False, add
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = {i: t for t, i in ranks(path).items()} | {i: t.encode() for t, i in (added or {}).items()}
-        for b in it:
-            texts = [None if ids is None else b"".join(back[i] for i in ids).decode("utf-8", "strict" if strict else "replace") for ids in b.column(len(key)).to_pylist()]
-            yield pa.record_batch([*b.columns[: len(key)], pa.array(texts, pa.string())], names=[*key, "text"])
+        return by_rows(it, key, "text", pa.string(), lambda ids: b"".join(back[i] for i in ids).decode("utf-8", "strict" if strict else "replace"))
 
     return rows.select(*key, "ids").mapInArrow(batches, schema)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .batches import by_rows
 from .merging import merge_linked
 
 #: Pieces that a worker remembers.
@@ -85,17 +86,15 @@ def encode(rows: DataFrame, path: str, key: list[str], text: str = "text", more:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = functools.lru_cache(REMEMBERED)(vocabulary(path, more).piece_ids)
-        for b in it:
-            pieces = b.column(len(key))
-            flat = pieces.flatten()
-            own = [[i] if i is not None else known(p) for p, i in zip(flat.field("piece").to_pylist(), flat.field("id").to_pylist(), strict=True)]
-            out, at = [], 0
-            for size in pa.compute.list_value_length(pieces).to_pylist():
-                out.append(None if size is None else [i for ids in own[at : at + size] for i in ids])
-                at += size or 0
-            yield pa.record_batch([*b.columns[: len(key)], pa.array(out, pa.list_(pa.int32()))], names=[*key, "ids"])
-
-    pieces = cut(F.col(text).cast("string"), vocabulary(path, more).added)
+
+        def ids(line: str) -> list[int]:
+            return [i for p in line.split(" ") if p for i in ((int(p[1:]),) if p[0] == "\t" else known(p))]
+
+        return by_rows(it, key, "ids", pa.list_(pa.int32()), ids)
+
+    # byte-level pieces hold neither spaces nor tabs, so a text's pieces are one string
+    one = lambda p: F.coalesce(F.concat(F.lit("\t"), p["id"].cast("string")), p["piece"])
+    pieces = F.array_join(F.transform(cut(F.col(text).cast("string"), vocabulary(path, more).added), one), " ")
     return rows.select(*key, pieces.alias("_pieces")).mapInArrow(batches, schema)
 
 
@@ -107,16 +106,15 @@ def decode(rows: DataFrame, path: str, key: list[str], skip_special: bool = Fals
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, more)
-        drop = own.special if skip_special else set()
+        known = own.contents | dict.fromkeys(own.special if skip_special else (), b"")
 
         def one(ids: list[int]) -> str:
-            unknown = [i for i in ids if i not in own.contents and i not in drop]
-            if unknown:
-                raise ValueError(f"unknown token id {unknown[0]}")
-            return b"".join(own.contents[i] for i in ids if i not in drop).decode("utf-8", "strict")
-
-        for b in it:
-            texts = [None if ids is None else one(ids) for ids in b.column(len(key)).to_pylist()]
-            yield pa.record_batch([*b.columns[: len(key)], pa.array(texts, pa.string())], names=[*key, "text"])
+            try:
+                content = b"".join([known[i] for i in ids])
+            except KeyError as unknown:
+                raise ValueError(f"unknown token id {unknown.args[0]}") from None
+            return content.decode("utf-8", "strict")
+
+        return by_rows(it, key, "text", pa.string(), one)
 
     return rows.select(*key, "ids").mapInArrow(batches, schema)
