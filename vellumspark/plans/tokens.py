@@ -43,8 +43,9 @@ def x17_added_tokens(spark, sf):
     texts = _turns(spark, sf).withColumn("text", F.concat(F.lit("<|stop|>!"), F.coalesce("text", F.lit("")), F.lit("<|stop|>")))
     ids = bpe.encode(texts, _ranks(), key, added=ADDED)
     count = lambda token: F.size(F.filter("ids", lambda i: i == ADDED[token]))
-    back = bpe.decode(ids, _ranks(), key, strict=True, added=ADDED)
-    return back.select(*key, F.md5("text").alias("h")).join(ids.select(*key, count("<|stop|>").alias("stops"), count("<|stop|>!").alias("longer")), key)
+    counted = ids.select(*key, count("<|stop|>").alias("stops"), count("<|stop|>!").alias("longer"), "ids")
+    back = bpe.decode(counted, _ranks(), [*key, "stops", "longer"], strict=True, added=ADDED)
+    return back.select(*key, F.md5("text").alias("h"), "stops", "longer")
 
 
 def _tokenizer() -> str:
