@@ -75,3 +75,28 @@ def test_a_word_of_a_million_bytes():
     known = bpe.ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert b"".join(bpe.merge(word.encode(), known)) == word.encode()
     assert time.time() - start < 60
+
+
+def test_a_batch_is_worked_through_in_small_parts():
+    import pyarrow as pa
+
+    from vellumspark.functions.batches import TOGETHER, by_rows
+
+    texts = ["x" * 1000, None, "y" * 5_000_000, *["z" * 2000] * 6000]
+    read = []
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    parts = by_rows(iter([batch]), ["k"], "n", pa.int64(), lambda t: read.append(t) or len(t))
+    first = next(parts)
+    assert first.num_rows == len(read) + 1 < 1000  # one null
+    rest = [first, *parts]
+    assert sum((p.column("n").to_pylist() for p in rest), []) == [None if t is None else len(t) for t in texts]
+    assert len(rest) >= sum(map(len, filter(None, texts))) // TOGETHER
+
+
+@pytest.mark.parametrize("name, cuts", [("u02_skip_special", 1), ("x17_added_tokens", 0), ("x10_pieces", 1)])
+def test_a_text_is_cut_once(spark, name, cuts):
+    from vellumspark.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lambda") + plan.count("regexp_extract_all(text") <= 2 * cuts and "Join" not in plan
+    assert plan.count("Relation [") == 1

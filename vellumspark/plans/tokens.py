@@ -87,8 +87,9 @@ def u02_skip_special(spark, sf):
     rows = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", F.lit("<|box|>"), "text").alias("text"))
     ids = tokenizer.encode(rows, _tokenizer(), ["doc_id"], more=MORE)
     framed = ids.select("doc_id", F.concat(F.array(F.lit(bos)), "ids", F.array(F.lit(eos))).alias("ids"))
-    back = tokenizer.decode(framed, _tokenizer(), ["doc_id"], skip_special=True, more=MORE)
-    return back.select("doc_id", F.md5("text").alias("h")).join(framed.select("doc_id", F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last")), "doc_id")
+    ended = framed.select("doc_id", F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last"), "ids")
+    back = tokenizer.decode(ended, _tokenizer(), ["doc_id", "first", "last"], skip_special=True, more=MORE)
+    return back.select("doc_id", F.md5("text").alias("h"), "first", "last")
 
 
 GRID = "SELECT vec_id // 256 AS image, (vec_id % 256 // 16)::INTEGER AS y, (vec_id % 16)::INTEGER AS x, embedding[1]::DOUBLE AS v FROM embeddings"
