@@ -83,3 +83,63 @@ def test_skipped_pages_are_events(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "timeout", 'it said "no"')], "p long, k string, m string")
     got = [r.json for r in batching.page_events(rows, F.col("p"), F.col("k"), F.col("m")).orderBy("page").collect()]
     assert got == ['{"schema_version":1,"event":"page","status":"ok","page":1}', '{"schema_version":1,"event":"page","status":"skipped","page":2,"error_kind":"timeout","message":"it said \\"no\\""}']
+
+
+class Kept:
+    """A state in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return iter(self.value or [])
+
+    def iterator(self):
+        return iter([])
+
+    def put(self, value):
+        self.value = list(value)
+
+    def appendList(self, value):
+        self.value += value
+
+    def clear(self):
+        self.value = None
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        pass
+
+
+@pytest.mark.parametrize("drained", [True, False])
+def test_a_lane_reads_and_makes_rows_part_by_part(monkeypatch, drained):
+    import pandas as pd
+
+    monkeypatch.setattr(batching, "HELD", 50)
+    lane = batching.Lane(tokens, ends, 15, 4, 3, 20, (1.4, 0.9, 20.0), True)
+    lane.pending, lane.active, lane.clock = Kept(), Kept(), Kept()
+    read = []
+
+    def rows():
+        for at in range(0, 3000, 100):
+            read.append(at)
+            part = pd.DataFrame(streams(3000)[at : at + 100], columns=["input_index", "seed"])
+            yield pd.concat([pd.DataFrame({"input_index": [None], "seed": [0]}), part]) if drained and not at else part
+
+    made = lane.handleInputRows((0,), rows(), None)
+    parts = [next(made)]
+    assert len(read) <= 2
+    parts += list(made)
+    assert max(map(len, parts)) < 60 and len(read) == 30
+    got = pd.concat(parts)
+    if drained:
+        assert lane.pending.value is None
+        assert {i: g.token.tolist() for i, g in got.sort_values("step").groupby("input_index")} == {i: alone(s, 3, 15) for i, s in streams(3000)}
+    else:
+        assert got.forward.max() == 20
+        assert lane.pending.value == streams(3000)[lane.clock.value[1] :]

@@ -10,7 +10,9 @@ depend on its own ring alone, so they are the same for any cap, lanes and micro-
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 RING = 128
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "lane int, input_index bigint, step bigint, token bigint, done boolean, forward bigint, active int, tripped boolean"
+#: Rows of output that a lane holds before it hands them on, and of arrivals it keeps at once.
+HELD = 20_000
 _PENDING = "input_index bigint, seed bigint"
 _ACTIVE = "at bigint, seed bigint, made bigint, e double, tripped boolean, ring array<bigint>"
 
@@ -28,9 +32,12 @@ Step = Callable[[list[int], list[int], list[list[int]]], list[int]]
 
 class Lane(StatefulProcessor):
     """Rows (lane, input_index, seed); a row without an input_index drains the lane. Other
-    micro-batches run ``forwards`` steps at most and leave the rest for the next."""
+    micro-batches run ``forwards`` steps at most and leave the rest for the next. Rows that
+    are ``ordered`` (draining ones first) are taken as they come, so neither what waits nor
+    what is made is ever held whole; others are a micro-batch, which is sorted."""
 
-    def __init__(self, step: Step, end: Callable[[int], bool], most: int, cap: int, ring: int, forwards: int, bet: tuple[float, float, float]):
+    def __init__(self, step: Step, end: Callable[[int], bool], most: int, cap: int, ring: int, forwards: int, bet: tuple[float, float, float], ordered: bool):
+        self.ordered = ordered
         self.step, self.end, self.most, self.cap, self.ring, self.forwards, self.bet = step, end, most, cap, ring, forwards, bet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -39,20 +46,19 @@ class Lane(StatefulProcessor):
         self.clock = handle.getValueState("clock", "forward bigint, admitted bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values("input_index", kind="stable")
-        drain = bool(arrived.input_index.isna().any())
-        queue = [tuple(map(int, r)) for r in self.pending.get()]
-        queue += [(int(i), int(s)) for i, s in zip(arrived.input_index, arrived.seed, strict=True) if i == i and i is not None]
+        rows = iter(rows if self.ordered else [pd.concat(list(rows)).sort_values("input_index", kind="stable", na_position="first")])
+        first = next(rows)
+        drain = bool(first.input_index.isna().any())  # those rows come first
+        arrived = arrivals(chain([first], rows))
+        queue = chain((tuple(map(int, r)) for r in self.pending.get()), arrived) if self.pending.exists() else arrived
         running = {int(k[0]): list(v) for k, v in self.active.iterator()}
         before = set(running)
         forward, admitted = map(int, self.clock.get()) if self.clock.exists() else (0, 0)
         out, left = [], self.forwards
-        waiting = 0
         while True:
-            while len(running) < self.cap and waiting < len(queue):  # backfill, in input order
-                index, seed = queue[waiting]
+            for index, seed in islice(queue, self.cap - len(running)):  # backfill, in input order
                 running[index] = [admitted, seed, 0, 1.0, False, []]
-                waiting, admitted = waiting + 1, admitted + 1
+                admitted += 1
             if not running or (left == 0 and not drain):
                 break
             left, forward = left - 1, forward + 1
@@ -70,20 +76,50 @@ class Lane(StatefulProcessor):
                 out.append((key[0], index, s[2] - 1, int(token), done, forward, len(order), s[4]))
                 if done:
                     del running[index]
+            if len(out) >= HELD:
+                yield frame(out)
+                out = []
         for index in before - set(running):
             self.active.removeKey((index,))
         for index, s in running.items():
             self.active.updateValue((index,), tuple(s))
-        self.pending.put([(i, s) for i, s in queue[waiting:]]) if queue[waiting:] else self.pending.clear()
+        if drain:
+            self.pending.clear()
+        else:
+            self._wait(queue)
         self.clock.update((forward, admitted))
-        names = [c.split()[0] for c in OUT.split(", ")]
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield frame(out)
+
+    def _wait(self, queue: Iterator[tuple[int, int]]) -> None:
+        """What is left of the queue, ``HELD`` streams at a time where none waited before."""
+        left = list(queue) if self.pending.exists() else list(islice(queue, HELD))
+        self.pending.put(left) if left else self.pending.clear()
+        while more := list(islice(queue, HELD)):
+            self.pending.appendList(more)
 
     def close(self) -> None:
         pass
 
 
+def arrivals(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int]]:
+    """(input_index, seed) of the rows that are streams, a part at a time; they must be in order."""
+    last = np.iinfo(np.int64).min
+    for part in parts:
+        part = part[part.input_index.notna()]
+        index = part.input_index.to_numpy("int64")
+        if len(index):
+            if index[0] < last or (np.diff(index) < 0).any():
+                raise ValueError("streams arrive out of order")
+            last = index[-1]
+        yield from zip(index.tolist(), part.seed.astype("int64").tolist(), strict=True)
+
+
+def frame(out: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in OUT.split(", ")]
+    return pd.DataFrame({name: np.array(column) for name, column in zip(names, zip(*out, strict=True), strict=True)})
+
+
 def dealt(streams: DataFrame, lanes: int) -> DataFrame:
     """(lane, input_index, seed): streams in turn over lanes."""
     return streams.select(F.pmod("input_index", F.lit(lanes)).cast("int").alias("lane"), F.col("input_index").cast("long").alias("input_index"), F.col("seed").cast("long").alias("seed"))
@@ -101,7 +137,10 @@ def batched(rows: DataFrame, step: Step, end: Callable[[int], bool], most: int,
         raise ValueError("cap and ring must be at least 1")
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows.sparkSession.streams.active  # noqa: B018  a batch run needs the manager that places state
-    return rows.groupBy("lane").transformWithStateInPandas(Lane(step, end, most, cap, ring, forwards, bet), OUT, "Append", "None")
+    ordered = not rows.isStreaming
+    if ordered:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lane").sortWithinPartitions("lane", F.col("input_index").asc_nulls_first())
+    return rows.groupBy("lane").transformWithStateInPandas(Lane(step, end, most, cap, ring, forwards, bet, ordered), OUT, "Append", "None")
 
 
 def broken(cap: int) -> Column:
