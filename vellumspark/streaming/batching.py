@@ -51,29 +51,30 @@ class Lane(StatefulProcessor):
         drain = bool(first.input_index.isna().any())  # those rows come first
         arrived = arrivals(chain([first], rows))
         queue = chain((tuple(map(int, r)) for r in self.pending.get()), arrived) if self.pending.exists() else arrived
-        running = {int(k[0]): list(v) for k, v in self.active.iterator()}
+        running = dict(sorted(((int(k[0]), [*v[:5], list(v[5])]) for k, v in self.active.iterator()), key=lambda r: r[1][0]))  # in order of admission, as later ones follow
         before = set(running)
         forward, admitted = map(int, self.clock.get()) if self.clock.exists() else (0, 0)
         out, left = [], self.forwards
+        lane, size, (up, down, limit) = key[0], self.ring, self.bet
         while True:
-            for index, seed in islice(queue, self.cap - len(running)):  # backfill, in input order
-                running[index] = [admitted, seed, 0, 1.0, False, []]
-                admitted += 1
+            if len(running) < self.cap:  # backfill, in input order
+                for index, seed in islice(queue, self.cap - len(running)):
+                    running[index] = [admitted, seed, 0, 1.0, False, []]
+                    admitted += 1
             if not running or (left == 0 and not drain):
                 break
             left, forward = left - 1, forward + 1
-            order = sorted(running, key=lambda i: running[i][0])
-            tokens = self.step([running[i][1] for i in order], [running[i][2] for i in order], [list(running[i][5]) for i in order])
-            for index, token in zip(order, tokens, strict=True):
-                s = running[index]
-                s[2] += 1
-                s[5] = [*s[5], int(token)][-self.ring :]
-                up, down, limit = self.bet
+            active = list(running.items())
+            tokens = self.step([s[1] for _, s in active], [s[2] for _, s in active], [s[5] for _, s in active])
+            for (index, s), token in zip(active, map(int, tokens), strict=True):
+                made = s[2]
+                s[2] = made + 1
+                s[5] = [*s[5], token][-size:]
                 if not s[4]:  # latches
                     s[3] = min(max(s[3] * (up if token % 2 else down), 1e-300), 1e300)
                     s[4] = s[3] >= limit
-                done = self.end(int(token)) or s[2] >= self.most
-                out.append((key[0], index, s[2] - 1, int(token), done, forward, len(order), s[4]))
+                done = self.end(token) or made + 1 >= self.most
+                out.append((lane, index, made, token, done, forward, len(active), s[4]))
                 if done:
                     del running[index]
             if len(out) >= HELD:
