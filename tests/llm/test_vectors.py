@@ -92,6 +92,55 @@ def test_traversal_counts_whole_nodes():
     assert any(whole and len(p) for _, p, _, whole in embed_dedup.near_nodes(t, t, np.sqrt(0.2), True))
 
 
+def test_large_tables_have_no_more_blocks(spark, monkeypatch):
+    """Random vectors, for which bounds prune nothing: pairs of blocks don't grow with
+    the square of the vectors, and no level is compared that saves nothing."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embed_dedup, "PARTS", 4, raising=False)
+    pairs, kept = [], embed_dedup.kept
+
+    def counted(df, label):
+        out = kept(df, label)
+        if label == "node-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(embed_dedup, "kept", counted)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(600, 32))
+    x[500:] = x[:100] + rng.normal(size=(100, 32)) * 0.2
+    rows = list(enumerate(x.tolist()))
+    got = embed_dedup.duplicates(frame(spark, rows)).collect()
+    assert sorted(((False, r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute_links(rows)
+    assert sum(r.n_links for r in got) > 100 and pairs[-1] <= 8 * 9 // 2
+    u = embed_dedup.units(rng.normal(size=(300, 64)))
+    t = embed_dedup.Tree(np.arange(300), np.ones(300, int), u, embed_dedup.node_path(u))
+    assert {k for k, p, _, _ in embed_dedup.near_nodes(t, t, np.sqrt(0.2), True) if len(p)} == {len(t.starts) - 1}
+    assert embed_dedup.block_size(615_384, 64) * 16 >= 615_384 and embed_dedup.block_size(10**9, 64) == 2**16
+
+
+def test_traversal_against_all_pairs():
+    """Few and many dimensions, tight and loose groups, a threshold amid the distances."""
+    rng = np.random.default_rng(18)
+    base = rng.normal(size=(60, 48))
+    for x, cosine in (
+        (rng.normal(size=(700, 3)), 0.9),
+        (rng.normal(size=(700, 8)) @ rng.normal(size=(8, 64)), 0.9),
+        (base[rng.integers(0, 60, 700)] + rng.normal(size=(700, 48)) * rng.choice([0.02, 0.15, 0.4], 700)[:, None], 0.9),
+        (rng.normal(size=(700, 300)) + 1, 0.5),
+    ):
+        x, n = embed_dedup.units(x), rng.integers(1, 4, 700)
+        a, b = (embed_dedup.Tree(np.arange(700)[s], n[s], x[s], embed_dedup.node_path(x[s])) for s in (slice(0, 300), slice(300, None)))
+        links = np.zeros(700, int)
+        for p, q, same in ((a, a, True), (b, b, True), (a, b, False)):
+            count_p, count_q, _ = embed_dedup.compare(p, q, same, cosine)
+            links[p.ids] += count_p
+            links[q.ids] += count_q
+        near = x @ x.T >= cosine
+        np.fill_diagonal(near, False)
+        assert near.any() and (links == near @ n).all()
+
+
 def brute_nearest(rows, every, top=10):
     out = []
     own = [(i, np.array(v)) for i, v in rows if i is not None and good(v)]

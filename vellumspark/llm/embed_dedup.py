@@ -4,16 +4,18 @@ On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2t). Eq
 vectors are merged first and carry their number. The tree's upper levels are cells: a
 crowded cell's pivots are a net of a sample of its vectors, and its vectors go to the
 nearest; cells of few blocks are dealt into blocks of bounded size. Within a block,
-nested nets with halving radii are the lower levels. The dual traversal descends from
-the root pair by joins, as only children of a pair that is near enough meet, then within
-a pair of blocks: two nodes are compared only if their covering radii let a pair be near
-enough; nodes all of whose pairs are near count as a whole. What is left is compared in
-double precision.
+nested nets with halving radii are the lower levels, and vectors the last. The dual
+traversal descends from the root pair by joins, as only children of a pair that is near
+enough meet, then within a pair of blocks: two nodes' children are compared only if
+their covering radii let a pair be near enough; nodes all of whose pairs are near count
+as a whole. Bounds are products of matrices in single precision, with slack for its
+rounding; pairs of vectors that the slack leaves open are compared in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,11 @@ from .groups import Groups
 
 COSINE = 0.9
 #: Vectors expected in the sample that a cell's pivots are chosen from, pivots of a cell
-#: at most, vectors of a block.
+#: at most, vectors of a block at least.
 SAMPLE, FAN, BLOCK = 4096, 64, 5000
+#: Where bounds prune nothing every pair of blocks is compared, and a vector is read once
+#: for each block: so many blocks are a table, until a block has that many components.
+PARTS, WHOLE = 16, 1 << 22
 #: Cells of more blocks than this are split, this many times at most.
 SPLIT, DEPTH = 4, 4
 ROOT = 1
@@ -38,9 +43,15 @@ POINTS = "rep long, n long, h long, x binary"
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Slack on bounds for rounding; the comparison itself has none.
 SLACK = 1e-9
-ROWS = 1024
+#: Rows and columns of a product; fewer pairs than FEW are multiplied one by one.
+ROWS, COLUMNS, FEW = 512, 1024, 256
+#: A level's nodes are compared if products go down to GAIN of what they were, by LOOK of
+#: its nodes; one of few pairs takes as long as ALONE in a matrix.
+GAIN, LOOK, ALONE = 0.8, 256, 30
 #: Pairs looked at together.
 PAIRS = 1 << 16
+#: Bytes of the vectors that are one row of a table of trees.
+CHUNK = 1 << 13
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -51,12 +62,12 @@ def units(x: np.ndarray) -> np.ndarray:
 
 def net(x: np.ndarray, radius: float, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Greedy net: rows chosen as centres, and for each row the position of a centre
-    within ``radius`` of it."""
+    within ``radius`` of it, but for rounding."""
     owner, centres = np.full(len(x), -1), []
-    left = np.arange(len(x))
+    left, least = np.arange(len(x)), 1 - radius * radius / 2
     while len(left):
         head = left[:chunk]
-        near = distances(x[head], x[head]) <= radius
+        near = x[head] @ x[head].T >= least
         fresh: list[int] = []
         for i in range(len(head)):
             if not near[i, fresh].any():
@@ -65,9 +76,9 @@ def net(x: np.ndarray, radius: float, chunk: int = 256) -> tuple[np.ndarray, np.
         centres += head[fresh].tolist()
         for at in range(0, len(left), 8192):
             part = left[at : at + 8192]
-            d = distances(x[part], x[head[fresh]])
-            best = d.argmin(axis=1)
-            hit = d[np.arange(len(part)), best] <= radius
+            d = x[part] @ x[head[fresh]].T
+            best = d.argmax(axis=1)
+            hit = d[np.arange(len(part)), best] >= least
             owner[part[hit]] = first + best[hit]
         owner[head[fresh]] = np.arange(first, len(centres))
         left = left[owner[left] < 0]
@@ -79,31 +90,54 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nested nets over one block. Level k's nodes own consecutive rows of the ordered
-    block; ``radius[k]`` is the largest distance from a node's mean to its rows."""
+    """Nested nets over one block, and its rows as the last level. Level k's nodes own
+    consecutive rows of the ordered block; ``radius[k]`` is the largest distance from a
+    node's mean to its rows."""
 
     def __init__(self, ids: np.ndarray, n: np.ndarray, x: np.ndarray, path: np.ndarray):
         """``n``: rows that each vector stands for; ``path``: for each vector the node
-        numbers of all levels, nested."""
+        numbers of all nets, nested."""
         order = np.lexsort(path.T[::-1])
         self.ids, self.n, self.x, path = ids[order], n[order], x[order], path[order]
-        self.starts, self.ends, self.means, self.radius, self.weight, self.children = [], [], [], [], [], []
+        self.starts, self.ends, self.means, self.radius, self.weight = [], [], [], [], []
+        new = np.ones(len(path), bool)
+        new[1:] = False
         for k in range(path.shape[1]):
-            new = np.ones(len(path), bool)
-            new[1:] = (path[1:, : k + 1] != path[:-1, : k + 1]).any(axis=1)
-            start = np.flatnonzero(new)
-            end = np.append(start[1:], len(path))
-            mean = np.add.reduceat(self.x, start, axis=0) / (end - start)[:, None]
-            off = np.sqrt(((self.x - np.repeat(mean, end - start, axis=0)) ** 2).sum(axis=1))
-            self.starts.append(start), self.ends.append(end), self.means.append(mean)
-            self.radius.append(np.maximum.reduceat(off, start))
-            self.weight.append(np.add.reduceat(self.n, start))
-        for k in range(path.shape[1] - 1):
-            self.children.append((np.searchsorted(self.starts[k + 1], self.starts[k]), np.searchsorted(self.starts[k + 1], self.ends[k])))
+            new[1:] |= path[1:, k] != path[:-1, k]
+            self._level(np.flatnonzero(new))
+        self._level(np.arange(len(path)))
+
+    def _level(self, start: np.ndarray) -> None:
+        end = np.append(start[1:], len(self.x))
+        mean, radius = self.x[start], np.zeros(len(start))
+        many = np.flatnonzero(end - start > 1)
+        if len(many):
+            rows, node = _span(start[many], end[many])
+            first = np.flatnonzero(np.diff(node, prepend=-1))
+            mean[many] = np.add.reduceat(self.x[rows], first, axis=0) / (end - start)[many, None]
+            off = np.sqrt(((self.x[rows] - mean[many][node]) ** 2).sum(axis=1))
+            radius[many] = np.maximum.reduceat(off, first)
+        self.starts.append(start), self.ends.append(end), self.radius.append(radius)
+        self.weight.append(np.add.reduceat(self.n, start))
+        self.means.append(mean.astype(np.float32))
+
+    def below(self, k: int, nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of a lower level's nodes within each of some of level k's."""
+        return np.searchsorted(self.starts[level], self.starts[k][nodes]), np.searchsorted(self.starts[level], self.ends[k][nodes])
+
+    def sides(self, k: int, reach: float, left: bool) -> np.ndarray:
+        """Level k's nodes as rows of a matrix: a node of radius r and one of radius s,
+        ``left`` and not, have the product ((reach + r + s)² - reach² - gap²) / 2, if
+        gap is the distance of their means."""
+        mean, r = self.means[k], self.radius[k]
+        own = r * (r / 2 + reach) - np.einsum("ij,ij->i", mean, mean, dtype=float) / 2
+        one = np.ones(len(r))
+        return np.column_stack([mean, np.stack([r, own, one] if left else [r, one, own], axis=1).astype(np.float32)])
 
 
 def node_path(x: np.ndarray) -> np.ndarray:
     """Node numbers of nested nets with RADII: each net is made within its parent's."""
+    x = x.astype(np.float32)
     path = np.zeros((len(x), len(RADII)), np.int32)
     groups = [np.arange(len(x))]
     for k, radius in enumerate(RADII):
@@ -126,37 +160,94 @@ def _span(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[owner], owner
 
 
-def near_nodes(a: Tree, b: Tree, reach: float, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """(level, nodes of a, nodes of b, all near) that dual traversal leaves: pairs of
-    nodes all of whose vectors are near at any level, others at the last."""
-    last = len(a.means) - 1
-    todo = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for i in range(0, len(a.means[0]), ROWS):
-        part = a.means[0][i : i + ROWS]
-        gap = (part**2).sum(1)[:, None] + (b.means[0] ** 2).sum(1)[None] - 2 * part @ b.means[0].T
-        p, q = np.nonzero(gap <= (reach + a.radius[0][i : i + ROWS, None] + b.radius[0][None] + SLACK) ** 2 + SLACK)
-        todo.append((p + i, q))
-    p, q = (np.concatenate(t) for t in zip(*todo, strict=True))
-    for k in range(last + 1):
+Ranges = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def products(x: np.ndarray, y: np.ndarray, ranges: Ranges, least: float, same: bool) -> Iterator[Found]:
+    """(row of x, row of y, product) of every product of at least ``least``, a bounded
+    number at once. ``ranges``: of rows of x, and of the rows of y that meet them; if
+    ``same``, no row of y before that of x counts."""
+    size = (ranges[1] - ranges[0]) * (ranges[3] - ranges[2])
+    found, held = [], 0
+    for part in chain(_large(x, y, [r[size >= FEW] for r in ranges], least, same), _small(x, y, [r[size < FEW] for r in ranges], least, same)):
+        found.append(part)
+        held += len(part[0])
+        if held >= PAIRS:
+            yield tuple(np.concatenate(t) for t in zip(*found, strict=True))
+            found, held = [], 0
+    if found:
+        yield tuple(np.concatenate(t) for t in zip(*found, strict=True))
+
+
+def _large(x: np.ndarray, y: np.ndarray, ranges: list[np.ndarray], least: float, same: bool) -> Iterator[Found]:
+    for lo, hi, start, end in zip(*(r.tolist() for r in ranges), strict=True):
+        for i in range(lo, hi, ROWS):
+            rows = x[i : min(i + ROWS, hi)]
+            for j in range(max(start, i) if same else start, end, COLUMNS):
+                product = rows @ y[j : min(j + COLUMNS, end)].T
+                if product.max() >= least:
+                    at = np.flatnonzero(product >= least)
+                    p, q = np.divmod(at, product.shape[1])
+                    p, q, room = p + i, q + j, product.ravel()[at]
+                    keep = p <= q if same else slice(None)
+                    yield p[keep], q[keep], room[keep]
+
+
+def _small(x: np.ndarray, y: np.ndarray, ranges: list[np.ndarray], least: float, same: bool) -> Iterator[Found]:
+    lo, hi, start, end = ranges
+    total = np.cumsum((hi - lo) * (end - start))
+    cuts = np.searchsorted(total, np.arange(PAIRS, total[-1] + 1, PAIRS)) if len(total) else []
+    for lo, hi, start, end in zip(*(np.split(r, cuts) for r in ranges), strict=True):
+        rows, at = _span(lo, hi)
+        q, own = _span(start[at], end[at])
+        p = rows[own]
         if same:
             p, q = p[p <= q], q[p <= q]
-        left = []
-        for i in range(0, len(p), PAIRS):
-            pp, qq = p[i : i + PAIRS], q[i : i + PAIRS]
-            gap = np.sqrt(((a.means[k][pp] - b.means[k][qq]) ** 2).sum(axis=1))
-            wide = a.radius[k][pp] + b.radius[k][qq]
-            whole = gap + wide <= reach - SLACK
-            some = (gap <= reach + wide + SLACK) & ~whole
-            yield k, pp[whole], qq[whole], True
+        room = np.einsum("ij,ij->i", x[p], y[q])
+        keep = room >= least
+        yield p[keep], q[keep], room[keep]
+
+
+def near_nodes(a: Tree, b: Tree, reach: float, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(level, nodes of a, nodes of b, all near) that dual traversal leaves: pairs of
+    nodes all of whose vectors are near at any level, others at the last. It goes down
+    from a bounded number of pairs before it takes up the next, by the levels whose
+    bounds save more products than they take."""
+    last = len(a.starts) - 1
+    # terms of a product come to 12 at most, each of them rounded as often as there are columns
+    slack = 12 * (a.x.shape[1] + 11) * 2.0**-23
+    least = -reach * reach / 2 - slack
+
+    def all_near(room: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        return (wide < reach) & (2 * room.astype(float) + reach * reach - 2 * slack >= 4 * reach * wide)
+
+    side, cost = {last: (a.sides(last, reach, True), b.sides(last, reach, False))}, float(len(a.x)) * len(b.x)
+    levels = [last]
+    for k in reversed(range(last)):
+        nodes = len(a.starts[k]) * len(b.starts[k])
+        if nodes > GAIN * cost:
+            continue
+        x, y = a.sides(k, reach, True), b.sides(k, reach, False)
+        some, other = (slice(None, None, -(-len(m) // LOOK)) for m in (x, y))
+        room = x[some] @ y[other].T
+        share = ((room >= least) & ~all_near(room, a.radius[k][some, None] + b.radius[k][None, other])).mean()
+        few = len(a.starts[levels[0]]) * len(b.starts[levels[0]]) < FEW * nodes
+        if (took := nodes + share * cost * (ALONE if few else 1)) <= GAIN * cost:
+            side[k], cost, levels = (x, y), took, [k, *levels]
+
+    def below(at: int, ranges: Ranges) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        k = levels[at]
+        for p, q, room in products(*side[k], ranges, least, same):
+            whole = all_near(room, a.radius[k][p] + b.radius[k][q])
+            yield k, p[whole], q[whole], True
+            p, q = p[~whole], q[~whole]
             if k == last:
-                yield k, pp[some], qq[some], False
-            left.append((pp[some], qq[some]))
-        if k == last or not left:
-            return
-        p, q = (np.concatenate(t) for t in zip(*left, strict=True))
-        p, at = _span(a.children[k][0][p], a.children[k][1][p])
-        q, of = _span(b.children[k][0][q[at]], b.children[k][1][q[at]])
-        p = p[of]
+                yield k, p, q, False
+            elif len(p):
+                yield from below(at + 1, (*a.below(k, p, levels[at + 1]), *b.below(k, q, levels[at + 1])))
+
+    yield from below(0, (np.array([0]), np.array([len(side[levels[0]][0])]), np.array([0]), np.array([len(side[levels[0]][1])])))
 
 
 def compare(a: Tree, b: Tree, same: bool, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,29 +272,22 @@ def compare(a: Tree, b: Tree, same: bool, cosine: float = COSINE) -> tuple[np.nd
             groups.join(at + shift, own.starts[k][x][node] + shift)
         groups.join(a.starts[k][p], b.starts[k][q] + off)
 
-    def some_near(k: int, p: np.ndarray, q: np.ndarray) -> None:
-        for i in range(0, len(p), PAIRS):
-            _some(a.starts[k][p[i : i + PAIRS]], a.ends[k][p[i : i + PAIRS]], b.starts[k][q[i : i + PAIRS]], b.ends[k][q[i : i + PAIRS]])
-
-    def _some(lo: np.ndarray, hi: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        rows, at = _span(lo, hi)
-        sizes = np.cumsum((end - start)[at])
-        cuts = np.searchsorted(sizes, np.arange(PAIRS, sizes[-1] + PAIRS, PAIRS) if len(sizes) else [])
-        for r, o in zip(np.split(rows, cuts), np.split(at, cuts), strict=True):
-            col, own = _span(start[o], end[o])
-            for j in range(0, len(col), PAIRS):
-                c, w = col[j : j + PAIRS], r[own[j : j + PAIRS]]
-                if same:
-                    c, w = c[w < c], w[w < c]
-                near = np.einsum("ij,ij->i", a.x[w], b.x[c]) >= cosine
-                w, c = w[near], c[near]
-                np.add.at(count_a, w, b.n[c])
-                np.add.at(count_b, c, a.n[w])
-                groups.join(w, c + off)
+    def some_near(w: np.ndarray, c: np.ndarray) -> None:
+        for i in range(0, len(w), PAIRS):
+            x, y = w[i : i + PAIRS], c[i : i + PAIRS]
+            near = np.einsum("ij,ij->i", a.x[x], b.x[y]) >= cosine
+            if same:
+                near &= x != y
+            x, y = x[near], y[near]
+            np.add.at(count_a, x, b.n[y])
+            np.add.at(count_b, y, a.n[x])
+            groups.join(x, y + off)
 
     for k, p, q, whole in near_nodes(a, b, float(np.sqrt(2 - 2 * cosine)), same):
-        if len(p):
-            (all_near if whole else some_near)(k, p, q)
+        if len(p) and whole:
+            all_near(k, p, q)
+        elif len(p):
+            some_near(p, q)
     ids = a.ids if same else np.concatenate([a.ids, b.ids])
     moved = groups.root != np.arange(len(ids))
     return count_a[:-1], count_b[:-1], np.stack([ids[moved], ids[groups.root[moved]]], axis=1)
@@ -219,7 +303,7 @@ def prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, merged
 
 
-def duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def duplicates(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
     Links are pairs of rows with a cosine of at least ``cosine``, computed in double
@@ -227,12 +311,14 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     components link with nothing, nor do rows without a vec_id; vectors of different
     lengths don't link with each other. Rows repeating a vec_id are rows of their own
     and link. component_id is the smallest vec_id reachable. An empty table gives none.
+    ``block``: vectors of a block at most, else ``block_size`` of each length's vectors.
     """
     if not 0 < cosine < 1:
         raise ValueError("cosine must lie between 0 and 1")
     rows, merged = prepared(vectors)
     single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
-    found = [_dimension(merged.where(F.size("v") == d), cosine, block, single) for d in sorted(r[0] for r in merged.select(F.size("v")).distinct().collect())]
+    sizes = sorted(merged.groupBy(F.size("v")).count().collect())
+    found = [_dimension(merged.where(F.size("v") == d), cosine, block or block_size(k, d), single) for d, k in sizes]
     spark = vectors.sparkSession
     counts, edges = (spark.createDataFrame([], "rep long, links long"), spark.createDataFrame([], "a long, b long"))
     for c, e in found:
@@ -245,6 +331,11 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def block_size(vectors: int, components: int) -> int:
+    """Vectors of a block, of so many in all."""
+    return max(BLOCK, min(-(-vectors // PARTS), WHOLE // components))
+
+
 def _dimension(merged: DataFrame, cosine: float, block: int, single: bool) -> tuple[DataFrame, DataFrame]:
     """(rep, links), (a, b) among merged vectors of one length."""
     kind = np.float32 if single else np.float64
@@ -255,8 +346,11 @@ def _dimension(merged: DataFrame, cosine: float, block: int, single: bool) -> tu
                 x = np.array(b.column("v").flatten(), kind).reshape(b.num_rows, -1)
                 yield pa.record_batch([b.column("rep"), b.column("n"), b.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "n", "h", "x"])
 
+    def unit_rows(x: bytes, rows: int) -> np.ndarray:
+        return units(np.frombuffer(x, kind).reshape(rows, -1).astype(float))
+
     def unpacked(pdf: pd.DataFrame) -> np.ndarray:
-        return units(np.frombuffer(b"".join(pdf["x"]), kind).reshape(len(pdf), -1).astype(float))
+        return unit_rows(b"".join(pdf["x"]), len(pdf))
 
     points = merged.select("rep", "n", "h", "v").mapInArrow(pack, POINTS)
     placed, levels = _cells(points, block, unpacked)
@@ -268,20 +362,26 @@ def _dimension(merged: DataFrame, cosine: float, block: int, single: bool) -> tu
         x = unpacked(pdf)
         mean = x.mean(axis=0)
         far = float(np.sqrt(((x - mean) ** 2).sum(axis=1)).max())
-        rows = range(len(pdf))
-        return pd.DataFrame({"block": key[0], "cell": pdf["cell"], "rep": pdf["rep"], "n": pdf["n"], "x": pdf["x"], "path": [p.tobytes() for p in node_path(x)], "centre": [mean if i == 0 else None for i in rows], "far": far})
+        rep, n, each, path = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["x"].to_list(), node_path(x)
+        step = max(1, CHUNK // len(each[0]))
+        parts = [slice(i, i + step) for i in range(0, len(pdf), step)]
+        packed = {c: [v[p].tobytes() for p in parts] for c, v in (("rep", rep), ("n", n), ("path", path))}
+        return pd.DataFrame({"block": key[0], "cell": pdf["cell"].iloc[0], **packed, "x": [b"".join(each[p]) for p in parts], "centre": [mean if p.start == 0 else None for p in parts], "far": far})
 
-    trees = kept(dealt.groupBy("block").applyInPandas(grow, "block long, cell long, rep long, n long, x binary, path binary, centre array<double>, far double"), "trees")
+    trees = kept(dealt.groupBy("block").applyInPandas(grow, "block long, cell long, rep binary, n binary, path binary, x binary, centre array<double>, far double"), "trees")
     levels.append(trees.where("centre IS NOT NULL").select(F.col("cell").alias("parent"), F.col("block").alias("child"), "centre", "far"))
     pairs = merged.sparkSession.createDataFrame([(ROOT, ROOT)], "a long, b long")
     for children in levels:
         pairs = kept(_descend(pairs, children, float(np.sqrt(2 - 2 * cosine))), "node-pairs")
     low, high = F.col("a").alias("low"), F.col("b").alias("high")
     partners = pairs.select(F.col("a").alias("block"), low, high).unionByName(pairs.where("a < b").select(F.col("b").alias("block"), low, high))
-    shipped = trees.select("block", "rep", "n", "x", "path").join(partners, "block")
+    # more tasks than pairs, so that few pairs share one by their hashes
+    tasks = min(64 * merged.sparkSession.sparkContext.defaultParallelism, 3 * max(1, pairs.count()))
+    shipped = trees.select("block", "rep", "n", "x", "path").join(partners, "block").repartition(tasks, "low", "high")
 
     def tree(pdf: pd.DataFrame) -> Tree:
-        return Tree(pdf["rep"].to_numpy(), pdf["n"].to_numpy(), unpacked(pdf), np.frombuffer(b"".join(pdf["path"]), np.int32).reshape(len(pdf), -1))
+        rep, n, path = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("rep", np.int64), ("n", np.int64), ("path", np.int32)))
+        return Tree(rep, n, unit_rows(b"".join(pdf["x"]), len(rep)), path.reshape(len(rep), -1))
 
     def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
